@@ -120,11 +120,9 @@ class Tokens:
         pieces, special = vocabulary(path)
         self._pieces, self._special = tuple(pieces), tuple(special.items())
 
-    def __call__(self, text: str) -> list[int]:
-        encoder = _encoder(self._pieces, self._special)
-        if any(s in text for s, _ in self._special):
-            return encoder.encode(text, allowed_special="all", disallowed_special=())
-        return encoder.encode_ordinary(text)
+    def __call__(self, text: str) -> np.ndarray:
+        """The ids of a text; special strings in it are their ids."""
+        return _encoder(self._pieces, self._special).encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -166,7 +164,7 @@ def _pack(tokens: Tokens, limit: int, closing: int, max_open: int, block: int, w
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for key, text in zip(keys, texts, strict=True):
-                ids = np.array(tokens(text.as_py() or "") + [closing], "<u4")
+                ids = np.append(tokens(text.as_py() or ""), np.uint32(closing)).astype("<u4", copy=False)
                 for k, (at, n) in enumerate(cuts(len(ids), limit)):
                     part = ids[at : at + n]
                     rows.append((key, k, at, n, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmap.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, secret_ledger
+from weftmap.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, quality, secret_ledger, toxicity
 from weftmap.llm._session import cut, table
 
 #: The conversation that op3 adds: control strings as plain text.
@@ -18,6 +18,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
@@ -64,15 +69,22 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(secret_ledger.findings(docs, ledger))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_quality": op2_quality,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_fingerprints": op7_fingerprints,
         "op8_secret_scan": op8_secret_scan,
+        "op10_toxicity": op10_toxicity,
     }
 
 
