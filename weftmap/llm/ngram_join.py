@@ -16,11 +16,14 @@ T = ceil(percent * n / 100) of the inverted lists of its shingles.
    ``MERGE``, less for tiny sets. As both sides of a pair order their lists alike
    it suffices that both look at their own short lists.
 3. Long lists of a group of near copies would pair all its members. So rounds of
-   the search look only at one member of each list (another one each round)
-   and link what reaches the overlap; members already connected need no
-   further link. When a round adds no link, or after ``ROUNDS``, the last search
-   takes each list whole, between members of different components, and leaves
-   no possible link out. Every link counts only after its exact overlap.
+   the search look at one member of each list only, and link each class with at
+   most ``BEST`` of those that it meets most often; classes that are connected
+   need no further link.
+4. What may still link is members of different components on one list. Classes
+   that share a list are a cluster. A cluster is cut into blocks of bounded size,
+   by bands of sizes that can link and by hash; each pair of blocks is one group
+   of rows, in which a task runs the same search on inverted lists of its own
+   and returns the links that connect. No pair is written that does not link.
 
 All steps go by hash of shingle, class or component; a list, class or component
 with a third of all rows is partial rows that combine before a shuffle, or rows
@@ -35,7 +38,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftmap.llm._bytes import Sums, U, chunks, mix, words
@@ -45,7 +48,9 @@ from weftmap.llm.components import components
 WIDTH = 5
 PERCENT = 75
 MERGE = 3
-ROUNDS = 3
+ROUNDS = 2
+BEST = 4
+BLOCK = 1 << 20  # shingles in a block
 BUFFER = 2_000_000  # postings that a task holds before it sends them on
 LOW48 = U((1 << 48) - 1)
 
@@ -229,7 +234,7 @@ def _shared(parts: int):
     return run
 
 
-ACTIVE = "class long, n long, k int, short array<long>, tokens binary"
+ACTIVE = "class long, n long, s long, k int, short array<long>, tokens binary"
 
 
 def _active(percent: int, merge: int):
@@ -262,7 +267,7 @@ def _active(percent: int, merge: int):
             own = tokens[first[i] : first[i + 1]]
             k = min(merge, int(need[i]))
             short = own[: len(own) - int(need[i]) + k]
-            rows.append((int(known[i]), int(n[i]), k, short.view(np.int64), np.sort(own).tobytes()))
+            rows.append((int(known[i]), int(n[i]), len(own), k, short.view(np.int64), np.sort(own).tobytes()))
             if len(rows) == 500:
                 yield _active_rows(rows)
                 rows = []
@@ -277,11 +282,12 @@ def _active_rows(rows):
         [
             pa.array([r[0] for r in rows], pa.int64()),
             pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.int32()),
-            pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-            pa.array([r[4] for r in rows], pa.binary()),
+            pa.array([r[2] for r in rows], pa.int64()),
+            pa.array([r[3] for r in rows], pa.int32()),
+            pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+            pa.array([r[5] for r in rows], pa.binary()),
         ],
-        names=["class", "n", "k", "short", "tokens"],
+        names=["class", "n", "s", "k", "short", "tokens"],
     )
 
 
@@ -291,17 +297,12 @@ def merge_lists(lists: list[list[int]]):
         yield i, sum(1 for _ in same)
 
 
-def _merge(best: bool):
-    """Rows (query, k, token, id, id's k), sorted by query and token -> pairs that occur often enough.
-
-    ``best``: only the id that occurs most, for each query.
-    """
+def _merge(best: int):
+    """Rows (query, k, token, id, id's k), sorted by query and token -> for each query the ids that occur often enough, at most ``best``."""
 
     def answer(query, k, lists, bounds):
         found = [(c, i) for i, c in merge_lists([sorted(x) for x in lists.values()]) if c >= min(k, bounds[i])]
-        if best and found:
-            found = [max(found)]
-        return [(query, i) for _, i in found]
+        return [(query, i) for _, i in heapq.nlargest(best, found)]
 
     def run(batches):
         now, k, lists, bounds, out = None, 0, {}, {}, []
@@ -355,6 +356,77 @@ def _probe(percent: int):
     return run
 
 
+class Lists:
+    """Inverted lists over a few sets, searched by DivideSkip."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        tokens = np.concatenate([np.zeros(0, U), *sets])
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(tokens, kind="stable")
+        self.owner = owner[order]
+        self.tokens, first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(first, len(tokens))
+
+    def search(self, query: np.ndarray, need: int, merge: int = MERGE):
+        """(member, overlap) of the members on at least ``need`` of the query's lists."""
+        at = np.searchsorted(self.tokens, query)
+        at[at == len(self.tokens)] = 0
+        at = at[self.tokens[at] == query] if len(self.tokens) else at[:0]
+        if len(at) < need:
+            return
+        at = at[np.argsort(self.first[at + 1] - self.first[at], kind="stable")]
+        k = min(merge, need)
+        short, long = at[: len(at) - need + k], np.sort(self.tokens[at[len(at) - need + k :]])
+        lists = [self.owner[self.first[i] : self.first[i + 1]].tolist() for i in short]
+        for member, count in merge_lists(lists):
+            if count >= k and (both := count + probe(long, self.sets[member])) >= need:
+                yield member, both
+
+
+def _connect(percent: int):
+    """Groups of rows (key, side, class, component, n, tokens), sorted by key -> links between different components."""
+
+    def answer(rows):
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
+        if len({r[2] for r in rows}) < 2 or not left or not right:
+            return
+        lists = Lists([r[4] for r in right])
+        for side, query, component, n, tokens in left:
+            for member, both in lists.search(tokens, (percent * n + 99) // 100):
+                _, other, theirs, m, _ = right[member]
+                if (side == 2 and other >= query) or find(component) == find(theirs):
+                    continue
+                if 100 * both >= percent * (n + m - both):
+                    root[find(component)] = find(theirs)
+                    yield query, other
+
+    def run(batches):
+        now, rows, out = None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(5)]
+            for i, key in enumerate(columns[0]):
+                if key != now:
+                    out += answer(rows)
+                    now, rows = key, []
+                rows.append((*(c[i] for c in columns[1:]), np.frombuffer(batch.column(5)[i].as_buffer(), U).copy()))
+            if len(out) > 10_000:
+                yield _pair_rows(out)
+                out = []
+        out += answer(rows)
+        if out:
+            yield _pair_rows(out)
+
+    return run
+
+
 def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     left = active.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = active.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
@@ -362,39 +434,84 @@ def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_probe(percent), "a long, b long")
 
 
-def _search(lists: DataFrame, active: DataFrame, percent: int, turn: int | None) -> DataFrame:
-    """One search over inverted lists (token, class, n, k, component); ``turn``: against one member of each list."""
-    fits = (F.col("n") * 100 >= F.col("n_i") * percent) & (F.col("n_i") * 100 >= F.col("n") * percent)
-    if turn is None:
-        other = lists.select("token", F.col("class").alias("i"), F.col("n").alias("n_i"), F.col("k").alias("k_i"), F.col("component").alias("c_i"))
-        met = lists.join(other, "token").filter((F.col("class") > F.col("i")) & (F.col("component") != F.col("c_i")) & fits)
-    else:
-        order = F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.col("class").alias("i"), F.col("n").alias("n_i"), F.col("k").alias("k_i"), F.col("component").alias("c_i"))
-        heads = lists.groupBy("token").agg(F.min(order).alias("head")).select("token", "head.i", "head.n_i", "head.k_i", "head.c_i")
-        met = lists.join(heads, "token").filter((F.col("component") != F.col("c_i")) & fits)
-    rows = met.select("class", "k", "token", "i", "k_i").repartition(partitions(lists.sparkSession), "class").sortWithinPartitions("class", "token")
-    pairs = rows.mapInArrow(_merge(turn is not None), "a long, b long")
-    return _verified(pairs, active, percent)
+def _fits(percent: int):
+    """The overlap of a pair is at most the shared shingles of either side, and must reach percent / (100 + percent) of both sizes."""
+    return F.least("s", "s_i") * (100 + percent) >= (F.col("n") + F.col("n_i")) * percent
 
 
-def links(active: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame | None:
-    """(a, b) pairs of classes that link, enough of them to connect all that are connected."""
-    posts = active.select("class", "n", "k", F.explode("short").alias("token"))
+def _star(lists: DataFrame, active: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links between each class and one member of each of its lists (token, class, n, s, k, component)."""
+    own = [F.col(c).alias(f"{c}_i" if c != "class" else "i") for c in ("class", "n", "s", "k")] + [F.col("component").alias("c_i")]
+    # first the member with the least of its own, then one at random for each list
+    order = (-F.col("s") / F.col("n")) if turn == 0 else F.xxhash64("class", "token", F.lit(turn))
+    heads = lists.groupBy("token").agg(F.min(F.struct(order.alias("_wm_order"), *own)).alias("head")).select("token", "head.*")
+    met = lists.join(heads, "token").filter((F.col("component") != F.col("c_i")) & _fits(percent))
+    rows = met.select("class", "k", "token", "i", "k_i").repartition(partitions(lists.sparkSession), "class").sortWithinPartitions("class", "token")
+    return _verified(rows.mapInArrow(_merge(1 if turn == 0 else BEST), "a long, b long"), active, percent)
+
+
+def _rest(lists: DataFrame, active: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between all members of different components that share a list."""
+    heads = lists.groupBy("token").agg(F.min("class").alias("b"))
+    weak = lists.join(heads, "token").select(F.col("class").alias("a"), "b").filter("a != b").distinct()
+    clusters = components(cut(weak, "weak"))
+    known = lists.select("class", "component", "n").distinct()
+    clustered = known.join(clusters.select("node", F.col("component").alias("cluster")), known["class"] == F.col("node"))
+    # sizes that can link are in one band or in bands side by side
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long")
+    members = clustered.select("class", "component", "n", "cluster", band.alias("band"))
+    members = cut(members, "members")
+    sizes = cut(members.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / block).alias("blocks")), "sizes")
+    above = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    placed = members.join(sizes, ["cluster", "band"]).join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")))
+
+    return _verify_blocks(placed, active, percent)
+
+
+def _verify_blocks(placed: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """Every class goes to each pair of blocks that holds its own: within its band, and with the bands above and below."""
+
+    def goes(kind: int, low: int, first: Column, second: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.col("band") + low).alias("low"), first.alias("first"), second.alias("second"), side.alias("side"))
+
+    def blocks(n: str) -> Column:
+        last = F.coalesce(F.col(n), F.lit(0)) - 1
+        return F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
+
+    at = F.col("at")
+    within = F.transform(
+        blocks("blocks"),
+        lambda j: goes(0, 0, F.least(at, j), F.greatest(at, j), F.when(at == j, 2).when(at < j, 0).otherwise(1)),
+    )
+    upward = F.transform(blocks("above"), lambda j: goes(1, 0, at, j, F.lit(0)))
+    downward = F.transform(blocks("below"), lambda j: goes(1, -1, j, at, F.lit(1)))
+    spread = placed.select("class", "component", "n", "cluster", F.explode(F.concat(within, upward, downward)).alias("to"))
+    keyed = spread.select(F.xxhash64("cluster", "to.kind", "to.low", "to.first", "to.second").alias("key"), "to.side", "class", "component", "n")
+    tokens = active.select("class", "tokens")
+    rows = keyed.join(tokens, "class").select("key", "side", "class", "component", "n", "tokens")
+    rows = rows.repartition(partitions(active.sparkSession), "key").sortWithinPartitions("key", "side", "class")
+    return rows.mapInArrow(_connect(percent), "a long, b long")
+
+
+def links(active: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame | None:
+    """(a, b) pairs of classes that link, enough of them to connect all that are connected; None if there are none."""
+    posts = active.select("class", "n", "s", "k", F.explode("short").alias("token"))
     several = posts.groupBy("token").agg(F.count(F.lit(1)).alias("_wm_n")).filter("_wm_n > 1").select("token")
     posts = cut(posts.join(several, "token"), "lists")
     found, groups, more = None, None, True
     for turn in [*range(rounds), None]:
         if turn is not None and not more:
             continue
-        lists = posts
         if groups is None:
-            lists = lists.withColumn("component", F.col("class"))
+            lists = posts.withColumn("component", F.col("class"))
         else:
-            lists = lists.join(groups, lists["class"] == groups["node"], "left")
+            lists = posts.join(groups, posts["class"] == groups["node"], "left")
             lists = lists.withColumn("component", F.coalesce("component", F.col("class"))).drop("node")
             mixed = lists.groupBy("token").agg(F.min("component").alias("_wm_low"), F.max("component").alias("_wm_high"))
             lists = cut(lists.join(mixed.filter("_wm_low != _wm_high").select("token"), "token"), "mixed")
-        fresh = cut(_search(lists, active, percent, turn), "found")
+        fresh = cut(_rest(lists, active, percent, block) if turn is None else _star(lists, active, percent, turn), "found")
         more = fresh.limit(1).count() > 0
         if not more:
             continue
