@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmap.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, quality, secret_ledger, toxicity
+from weftmap.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, toxicity
 from weftmap.llm._session import cut, table
 
 #: The conversation that op3 adds: control strings as plain text.
@@ -69,6 +69,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(secret_ledger.findings(docs, ledger))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_fingerprints": op7_fingerprints,
         "op8_secret_scan": op8_secret_scan,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
     }
 

@@ -34,10 +34,11 @@ from weftmap.llm._bytes import U, Sums, chunks, mix, words
 from weftmap.llm._session import text_or_empty
 from weftmap.llm.quality import fold
 
-MAX_ROWS = 3_000
+MAX_ROWS = 2_000
 MAX_UNITS = 4_000
-LANDMARKS = 256
-POOL = 1_000  # units among which landmarks are looked for
+LANDMARKS = 192
+POOL = 300  # units among which landmarks are looked for
+AT_ONCE = 1_000  # units whose kernels are computed together
 NEGATIVES = 12_000  # clean units that a round trains on
 SPAN = 7
 DECAY = 0.7
@@ -83,7 +84,7 @@ def _framed(letters: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Units with a letter in front of each that says it begins."""
     n = len(first) - 1
     at = first[:-1] + np.arange(n)
-    out = np.empty(len(letters) + n, np.int64)
+    out = np.empty(len(letters) + n, np.uint8)
     inside = np.ones(len(out), bool)
     inside[at] = False
     out[at] = _BEGIN
@@ -99,7 +100,7 @@ def _triples(letters: np.ndarray, first: np.ndarray):
         if m <= 0:
             continue
         at = np.flatnonzero(owner[:m] == owner[b:])
-        yield at, (letters[at] * ALPHABET + letters[at + a]) * ALPHABET + letters[at + b], DECAY ** (b + 1)
+        yield at, (letters[at].astype(np.int64) * ALPHABET + letters[at + a]) * ALPHABET + letters[at + b], DECAY ** (b + 1)
 
 
 def _scales(first: np.ndarray) -> np.ndarray:
@@ -128,7 +129,7 @@ class Basis:
         self.kinds = np.unique(np.concatenate([np.zeros(0, np.int64), *[t for _, t, _ in parts]]))
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         scale = _scales(first)
-        self.rows = np.zeros((len(first) - 1, len(self.kinds) + 1))  # the last column: any other triple
+        self.rows = np.zeros((len(first) - 1, len(self.kinds) + 1), np.float32)  # the last column: any other triple
         for at, triple, weight in parts:
             np.add.at(self.rows, (owner[at], np.searchsorted(self.kinds, triple)), weight * scale[owner[at]])
 
@@ -138,19 +139,22 @@ class Basis:
         return out
 
     def kernel(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of units (rows) with the landmarks (columns)."""
+        """Of units (rows) with the landmarks (columns), some units at a time."""
         place = np.full(ALPHABET**3, len(self.kinds), np.int32)
         place[self.kinds] = np.arange(len(self.kinds))
-        out = np.zeros((len(first) - 1, len(self.rows)))
-        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         columns = np.ascontiguousarray(self.rows.T)
-        for at, triple, weight in _triples(letters, first):
-            known = place[triple]
-            met = known < len(self.kinds)
-            who = owner[at][met]
-            edge = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, int)
-            if len(edge):
-                out[who[edge]] += np.add.reduceat(columns[known[met]], edge, axis=0) * weight
+        out = np.zeros((len(first) - 1, len(self.rows)))
+        for low in range(0, len(out), AT_ONCE):
+            own = first[low : low + AT_ONCE + 1]
+            part = out[low : low + AT_ONCE]
+            owner = np.repeat(np.arange(len(part)), np.diff(own))
+            for at, triple, weight in _triples(letters[own[0] : own[-1]], own - own[0]):
+                known = place[triple]
+                met = known < len(self.kinds)
+                who = owner[at][met]
+                edge = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, int)
+                if len(edge):
+                    part[who[edge]] += np.add.reduceat(columns[known[met]], edge, axis=0) * weight
         return out * _scales(first)[:, None]
 
     def table(self, alpha: np.ndarray) -> np.ndarray:
@@ -259,7 +263,10 @@ class Rows:
 def _distinct(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Framed distinct units, and for each occurrence which it is."""
     letters, first = _framed(rows.letters, rows.first)
-    hashed = mix(Sums(letters.astype(np.uint8)).of(first[:-1], first[1:]))
+    hashed = np.empty(len(first) - 1, U)
+    for low in range(0, len(hashed), 20_000):
+        own = first[low : low + 20_001]
+        hashed[low : low + 20_000] = mix(Sums(letters[own[0] : own[-1]].astype(np.uint8)).of(own[:-1] - own[0], own[1:] - own[0]))
     _, at, inverse = np.unique(hashed, return_index=True, return_inverse=True)
     return *_some(letters, first, at), inverse
 
@@ -276,7 +283,7 @@ def _suspicion(rows: Rows, letters: np.ndarray, first: np.ndarray, inverse: np.n
     inside = np.flatnonzero(owner[:m] == owner[3 : m + 3])
     if not len(inside):
         return np.full(n, -9.0)
-    piece = ((letters[inside] * ALPHABET + letters[inside + 1]) * ALPHABET + letters[inside + 2]) * ALPHABET + letters[inside + 3]
+    piece = ((letters[inside].astype(np.int64) * ALPHABET + letters[inside + 1]) * ALPHABET + letters[inside + 2]) * ALPHABET + letters[inside + 3]
     kinds, piece = np.unique(piece, return_inverse=True)
     unit = owner[inside]  # sorted
     edge = np.searchsorted(unit, np.arange(n + 1))
@@ -286,11 +293,14 @@ def _suspicion(rows: Rows, letters: np.ndarray, first: np.ndarray, inverse: np.n
         side = rows.label[rows.text] == label
         both = []
         for context in (rows.text, before):
-            seen = np.unique(context[side].astype(np.int64) * n + inverse[side])
-            where, u = seen // n, seen % n
-            spread = _spans(edge, u)
-            each = np.unique(np.repeat(where, edge[u + 1] - edge[u]) * len(kinds) + piece[spread])
-            both.append(np.bincount(each % len(kinds), minlength=len(kinds)).astype(float))
+            count = np.zeros(len(kinds))
+            for part in range(16):
+                own = side & (context % 16 == part)
+                seen = np.unique(context[own].astype(np.int64) * n + inverse[own])
+                where, u = seen // n, seen % n
+                each = np.unique(np.repeat(where, edge[u + 1] - edge[u]) * len(kinds) + piece[_spans(edge, u)])
+                count += np.bincount(each % len(kinds), minlength=len(kinds))
+            both.append(count)
         counts.append(np.minimum(*both))
     bad, good = counts
     n_bad, n_good = max(1, (rows.label > 0).sum()), max(1, (rows.label == 0).sum())
@@ -324,7 +334,7 @@ def _landmarks(letters, first, side, count) -> list[int]:
     if not len(pool):
         return []
     basis = Basis(*_some(letters, first, pool))
-    gram = basis.rows @ basis.rows.T
+    gram = (basis.rows @ basis.rows.T).astype(float)
     own = np.sqrt(np.maximum(np.diag(gram), 1e-12))
     near, taken = np.zeros(len(pool)), [0]
     while len(taken) < min(count, len(pool)):
@@ -342,7 +352,7 @@ def _inserted(letters: np.ndarray, first: np.ndarray, which: np.ndarray, rng) ->
         at = rng.integers(2, len(unit)) if len(unit) > 2 else len(unit)
         made.append(np.insert(unit, at, rng.integers(1, 27)))
     size = np.array([len(u) for u in made], int)
-    return (np.concatenate(made) if made else np.zeros(0, np.int64)), np.concatenate(([0], np.cumsum(size)))
+    return (np.concatenate(made) if made else np.zeros(0, np.uint8)), np.concatenate(([0], np.cumsum(size)))
 
 
 def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 11) -> Machine:
@@ -379,7 +389,7 @@ def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1
     for _ in range(rounds):
         chosen = _landmarks(letters, first, pos, landmarks // 2) + _landmarks(letters, first, neg, landmarks // 2)
         basis = Basis(*_some(letters, first, np.array(chosen)))
-        value, vector = np.linalg.eigh(basis.rows @ basis.rows.T)
+        value, vector = np.linalg.eigh((basis.rows @ basis.rows.T).astype(float))
         root = vector * np.where(value > 1e-6 * value.max(), 1 / np.sqrt(np.maximum(value, 1e-12)), 0.0)
         z = np.concatenate([basis.kernel(*_some(letters, first, u)) for u in (pos, neg)] + [basis.kernel(*extra)]) @ root
         y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg)), np.ones(len(pos))))
@@ -456,7 +466,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         before += int(s.max()) + 1 if len(s) else 0
     return train(
         Rows(
-            np.frombuffer(b"".join(r.letters for r in got), np.uint8).astype(np.int64),
+            np.frombuffer(b"".join(r.letters for r in got), np.uint8),
             np.concatenate(([0], np.cumsum(flat))),
             np.repeat(np.arange(len(got)), [len(s) for s in sizes]),
             np.concatenate(sentences),
