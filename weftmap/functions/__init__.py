@@ -1 +1 @@
-
+"""Expressions over columns, and the functions that they call."""

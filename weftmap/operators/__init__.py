@@ -1 +1 @@
-
+"""The relational algebra and the construction of the graph."""

@@ -1 +1 @@
-
+"""Readers: tables (CSV, JSON, Parquet), RDF, and the documents that describe shapes."""

@@ -1 +1,8 @@
+"""Streams.
 
+The language has no operator over streams: no watermark, window or state. A
+program's relational verbs without state (where, select, union and joins with a
+table) are plain DataFrame operations, so :class:`weftmap.operators.relation.Relation`
+also takes a streaming DataFrame; vertices and edges are numbered over a whole
+input and are built in batch only.
+"""
