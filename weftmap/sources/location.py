@@ -49,5 +49,5 @@ def check_exists(spark: SparkSession, path: str) -> None:
 def read_text(spark: SparkSession, path: str) -> str:
     """A small document (a program, a shape document) as text."""
     check_exists(spark, path)
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return "\n".join(r.value for r in rows)

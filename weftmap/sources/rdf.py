@@ -33,7 +33,7 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o, tag) of a document: IRIs and lexical forms as text."""
     check_exists(spark, path)
     if not path.lower().rstrip("/").endswith(".nt"):
-        return spark.read.option("wholetext", True).text(path).mapInPandas(_file, TRIPLES)
+        return spark.read.text(path, wholetext=True).mapInPandas(_file, TRIPLES)
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
     bad = lines.filter(~F.col("value").rlike(_LINE)).limit(1).collect()
     if bad:
