@@ -183,13 +183,13 @@ def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexT
     """Merge, check and number the vertices of one type."""
     rows, properties = merged(parts)
     rows = cut(rows, "rows") if any(not p.single for p in properties) else rows
-    collapsed = cut(collapse(rows, properties), "vertices")
+    everything = number(collapse(rows, properties), "subject", first)  # written once, then checked and read from there
     bad = F.col("subject").isNull() | ~F.col("subject").rlike(ABSOLUTE)
-    told = collapsed.agg(
+    told = everything.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(bad).alias("bad"),
         F.min(F.when(bad, F.coalesce("subject", F.lit("null")))).alias("which"),
-        F.min(F.when(conflict(collapsed, properties), F.col("subject"))).alias("two"),
+        F.min(F.when(conflict(everything, properties), F.col("subject"))).alias("two"),
     ).first()
     if told.bad:
         raise Refusal("write/invalid-subject", f"`{told.which}` is not an absolute IRI, and it is the subject of a {shape.label}")
@@ -197,9 +197,7 @@ def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexT
         raise Refusal("write/too-many-values", f"{told.two} has two values for a property of {shape.label} that takes one")
     if first + told.n >= MAX_VERTICES:
         raise Refusal("run/too-large", "a graph has less than 2^32 vertices")
-    singles = [(i, p) for i, p in enumerate(properties) if p.single]
-    numbered = number(collapsed.select("subject", *[f"p{i}" for i, _ in singles]), "subject", first)
-    numbered = cut(numbered.select("dense_id", "subject", *[F.col(f"p{i}").alias(p.name) for i, p in singles]), "vertex")
+    numbered = everything.select("dense_id", "subject", *[F.col(f"p{i}").alias(p.name) for i, p in enumerate(properties) if p.single])
     ids = numbered.select("dense_id", F.col("subject").alias("_wm_subject"))
     multi = {}
     for i, p in enumerate(properties):
@@ -244,16 +242,17 @@ def resolve(parts: list[EdgePart], sources: DataFrame, targets: DataFrame) -> tu
 
 def build_edges(label: str, predicate: str, single: bool, parts: list[EdgePart], source: VertexTable, target: VertexTable) -> EdgeTable:
     """Resolve, count what is dropped, make a set, and check that a single-valued edge has one target."""
-    pairs, resolved = resolve(parts, source.rows, target.rows)
-    pairs = cut(pairs.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    pairs, _ = resolve(parts, source.rows, target.rows)
+    pairs = pairs.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
     a = source.rows.select(F.col("subject").alias("s"), F.col("dense_id").alias("src"))
     b = target.rows.select(F.col("subject").alias("t"), F.col("dense_id").alias("dst"))
-    rows = cut(pairs.join(a, "s").join(b, "t").select("src", "dst", "n"), "edges")
-    read = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = cut(pairs.join(a, "s", "left").join(b, "t", "left").select("src", "dst", "n"), "edges")
+    whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    read, found = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(whole, F.col("n"))), F.lit(0))).first()
+    rows = placed.filter(whole).select("src", "dst")
     if single and rows.groupBy("src").count().filter("count > 1").limit(1).count():
         raise Refusal("write/too-many-values", f"a vertex has two targets for `{label}`, which takes one")
-    return EdgeTable(source.label, label, target.label, predicate, single, rows.select("src", "dst"), read - found)
+    return EdgeTable(source.label, label, target.label, predicate, single, rows, read - found)
 
 
 def offsets(edges: DataFrame, vertices: int) -> DataFrame:
