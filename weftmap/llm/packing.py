@@ -17,8 +17,8 @@ open bins bound a task's memory; nothing is shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,24 +105,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-@lru_cache(2)
-def _encoder(pieces: tuple[bytes, ...], special: tuple[tuple[str, int], ...]):
-    import tiktoken
-
-    ranks = {p: i for i, p in enumerate(pieces) if p}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
+_ENCODERS: dict[str, object] = {}  # of this process, by digest of the vocabulary
 
 
 class Tokens:
     """Turns texts into ids; it carries the vocabulary to the executors."""
 
     def __init__(self, path: str):
-        pieces, special = vocabulary(path)
-        self._pieces, self._special = tuple(pieces), tuple(special.items())
+        self._pieces, self._special = vocabulary(path)
+        self._key = hashlib.sha256(repr((self._pieces, self._special)).encode()).hexdigest()
+
+    def _encoder(self):
+        if self._key not in _ENCODERS:
+            import tiktoken
+
+            ranks = {p: i for i, p in enumerate(self._pieces) if p}
+            _ENCODERS[self._key] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self._special)
+        return _ENCODERS[self._key]
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text; special strings in it are their ids."""
-        return _encoder(self._pieces, self._special).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        return self._encoder().encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
