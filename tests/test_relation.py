@@ -165,6 +165,9 @@ def test_csv_of_several_files_and_none(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"p{i}.csv").write_text(f"a;b\n{i};x\n")
     assert tables.read_csv(spark, str(tmp_path / "p*.csv"), ";").count() == 3
+    (tmp_path / "p9.csv").write_text("b;a\n1;2\n")
+    with pytest.raises(Exception, match="header"):
+        tables.read_csv(spark, str(tmp_path / "p*.csv"), ";").count()
     with pytest.raises(Refusal, match="source/not-found"):
         tables.read_csv(spark, str(tmp_path / "gone.csv"))
 

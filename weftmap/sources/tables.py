@@ -68,18 +68,24 @@ def _type(row, name: str) -> T.DataType:
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A file, a glob or a folder with a header; an empty field is null."""
+    """A file, a glob or a folder with a header; an empty field is null.
+
+    A record is a line, so that a large file is read by many tasks. Files under
+    one place share the header of the first; a file with another one is refused.
+    """
     if delimiter is not None and len(delimiter.encode()) != 1:
         raise Refusal("provider/invalid-reader-option", "a delimiter is one byte")
     check_exists(spark, path)
-    options = {"sep": delimiter or ",", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "multiLine": True}
+    options = {"sep": delimiter or ",", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
     first = spark.read.options(header=False, inferSchema=False, **options).csv(path).limit(1).collect()
     if not first:
         raise Refusal("source/unparseable", f"`{path}` is empty")
     header = unique_headers([h or "" for h in first[0]])
     names = [f"c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    texts = spark.read.options(header=True, enforceSchema=True, **options).schema(schema).csv(path)
+    # each task holds the header of its file against the first, where Spark can tell the names apart
+    told_apart = list(first[0]) == header
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (header if told_apart else names)])
+    texts = spark.read.options(header=True, enforceSchema=not told_apart, **options).schema(schema).csv(path).toDF(*names)
     texts = texts.select([F.when(F.col(n) != "", F.col(n)).alias(n) for n in names])
     decided = texts.agg(*[a for n in names for a in _decide(F.col(n), n)]).first()
     cast = [F.col(n).cast(_type(decided, n)) for n in names]
