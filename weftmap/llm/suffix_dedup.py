@@ -43,10 +43,11 @@ from weftmap.llm._session import cut, partitions, text_or_empty
 LENGTH = 100
 GRAM = 40
 STEP = 4
-SEGMENT = 1 << 20  # windows that are cut into pieces at a time
-BUFFER = 1_000_000  # pieces that a task holds before it sends them on
-SLICE = 1 << 22  # bytes whose shards are merged at a time
-SHARD = 1 << 20
+SEGMENT = 1 << 19  # windows that are cut into pieces at a time
+BUFFER = 250_000  # pieces that a task holds before it sends them on
+FETCHED = 1 << 22  # bytes of pieces that a task holds before it sends them on
+SLICE = 1 << 18  # bytes whose shards are merged at a time
+SHARD = 1 << 16
 HOT = 20_000
 NO_ID = (1 << 63) - 1
 LOW48 = U((1 << 48) - 1)
@@ -137,11 +138,22 @@ def _first_of_each(doc, tag, start, *keys) -> tuple[np.ndarray, np.ndarray]:
 ROUTED = "part int, kind int, doc long, tag long, blob binary"
 
 
-def _routed(rows: list[tuple]):
-    for at in range(0, len(rows), 1000):
-        part = rows[at : at + 1000]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in ROUTED.split(", ")])
+def _routed(rows):
+    """Record batches of at most 1,000 rows, and of few large ones."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[4])
+        if len(part) == 1000 or size >= 1 << 21:
+            yield _batch(part)
+            part, size = [], 0
+    if part:
+        yield _batch(part)
+
+
+def _batch(part: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in ROUTED.split(", ")])
 
 
 POSTINGS, RUNS, WANTED = 0, 1, 2
@@ -180,7 +192,7 @@ def _cut_up(parts: int, length: int, gram: int):
         keep = np.ones(len(text), bool)
         keep[copies] = False
         text, start, windows, anchor, content = text[keep], start[keep], windows[keep], anchor[keep], content[keep]
-        part = _part(anchor, parts)
+        part = _part(mix(anchor), parts)  # minimizers are small numbers: mixed, they spread evenly
         order = np.argsort(part.astype(np.uint16), kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=U))
         docs, tags = np.array(docs, np.int64), np.array(tags, np.int64)
@@ -212,9 +224,9 @@ def _cut_up(parts: int, length: int, gram: int):
                         held += len(text)
                 i = j
                 if held >= BUFFER:
-                    yield from _routed(list(flush(docs, tags, found)))
+                    yield from _routed(flush(docs, tags, found))
                     docs, tags, found, held = [], [], [], 0
-        yield from _routed(list(flush(docs, tags, found)))
+        yield from _routed(flush(docs, tags, found))
 
     return run
 
@@ -247,14 +259,14 @@ def _fold(length: int, hot: int):
         itself = np.zeros(len(doc), bool)
         itself[1:] = ~fresh[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1])
         copy = ~fresh & ~itself
-        yield from _routed(list(_by_row(doc[copy], tag[copy], start[copy], windows[copy], RUNS)))
+        yield from _routed(_by_row(doc[copy], tag[copy], start[copy], windows[copy], RUNS))
         doc, tag, anchor, start, windows = doc[fresh], tag[fresh], anchor[fresh], start[fresh], windows[fresh]
         _, inverse, contents = np.unique(anchor, return_inverse=True, return_counts=True)
         many = contents[inverse]
         want = many > 1
         # the highest bit says that the windows are to be sent one by one
         anchor = anchor | np.where(many > hot, U(1) << U(63), U(0))
-        yield from _routed(list(_by_row(doc[want], tag[want], start[want], windows[want], WANTED, anchor[want])))
+        yield from _routed(_by_row(doc[want], tag[want], start[want], windows[want], WANTED, anchor[want]))
 
     return run
 
@@ -289,7 +301,7 @@ def _fetch(parts: int, length: int):
                             out.append((anchor, docs[i], tags[i], start, blob[start : start + windows + length - 1]))
                         size += len(out[-1][-1])
                 wanted = []  # a row that is there again has nothing of its own
-                if size >= SLICE:
+                if size >= FETCHED:
                     yield from _piece_rows(out, parts)
                     out, size = [], 0
         yield from _piece_rows(out, parts)
@@ -414,7 +426,7 @@ def _merge(length: int):
     def answer(rows):
         if len(rows) > 1:
             doc, tag, start = repeated(rows, length)
-            yield from _routed(list(_by_row(doc, tag, start, np.ones(len(start), np.int64), RUNS)))
+            yield from _routed(_by_row(doc, tag, start, np.ones(len(start), np.int64), RUNS))
 
     def run(batches):
         rows, copies, now, size = [], [], None, 0
@@ -433,7 +445,7 @@ def _merge(length: int):
                 size += len(text)
             if copies:
                 doc, tag, start = (np.array(c, np.int64) for c in zip(*copies, strict=True))
-                yield from _routed(list(_by_row(doc, tag, start, np.ones(len(start), np.int64), RUNS)))
+                yield from _routed(_by_row(doc, tag, start, np.ones(len(start), np.int64), RUNS))
                 copies = []
         yield from answer(rows)
 
@@ -466,7 +478,7 @@ def _finish(length: int):
     """Rows sorted by (doc, tag, kind): runs, then texts -> what is left of each text."""
 
     def run(batches):
-        now, runs, first, out = None, [], True, []
+        now, runs, first, out, size = None, [], True, [], 0
         for batch in batches:
             docs, tags, kinds = (batch.column(i).to_pylist() for i in range(3))
             for i in range(len(docs)):
@@ -482,16 +494,21 @@ def _finish(length: int):
                     removed, spans, kept = (len(blob), 1, b"") if len(blob) >= length else (0, 0, blob)
                 first = False
                 out.append((None if docs[i] == NO_ID else docs[i], len(blob), removed, spans, kept))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in out], pa.int64()) for k in range(4)] + [pa.array([r[4] for r in out], pa.binary())],
-                    names=[x.split()[0] for x in RESULT.split(", ")],
-                )
-                out = []
+                size += len(kept)
+                if size >= FETCHED:
+                    yield _result(out)
+                    out, size = [], 0
+        if out:
+            yield _result(out)
 
     return run
 
 
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)] + [pa.array([r[4] for r in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
+
+
 TEXT = 9
 
 
