@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmap import session
+from weftmap.session import partitions
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="weftmap-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+__all__ = ["cut", "partitions", "table", "text_or_empty"]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has ended: its folder goes with it
-        pass
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
@@ -41,20 +25,12 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     removes the shuffle files behind the written table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weftmap/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    written = session.cut(df, name)
     del df
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    """How many partitions the session asks shuffles to have."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return written
 
 
-def text_or_empty(column) -> Column:
+def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))

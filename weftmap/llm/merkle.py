@@ -224,7 +224,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = partitions(spark)
     own = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
     shares = [i / n for i in range(1, n)] or [0.5]
-    bounds = own.select(F.percentile_approx("id", shares, 10_000).alias("b")).first()["b"] or []
+    bounds = own.select(F.percentile_approx("id", shares, max(10_000, 10 * n)).alias("b")).first()["b"] or []
     splits = [float("-inf"), *sorted({float(b) for b in bounds}), float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
