@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from weftmap.session import filesystem
 
@@ -17,34 +18,33 @@ def put(spark: SparkSession, path: str, data: bytes | str) -> None:
         out.close()
 
 
-def put_chunks(df: DataFrame, folder: str, index: str | Column, rows: int, chunk: int, order: list[str]) -> None:
-    """Write ``df`` as ``folder/chunk0``, ``chunk1``, ..: rows whose index // chunk is the number, sorted.
+def put_numbered(df: DataFrame, number: str, n: int, order: list[str], place: Callable[[int], str], beside: str) -> None:
+    """Write the rows of number i, sorted, as the one file ``place(i)``, for all i below n; the number is not written.
 
-    Each chunk is written by a task of its own and then renamed; no rows pass
-    through the driver.
+    One job writes all files, each by a task of its own; then they are renamed.
+    No rows pass through the driver. ``beside`` names a folder for the meantime.
     """
     spark = df.sparkSession
-    n = max(1, -(-rows // chunk))
-    fs, where = filesystem(spark, folder)
-    fs.delete(where, True)
-    temporary = f"{folder.rstrip('/')}.writing"
-    placed = df.withColumn("_wm_chunk", F.floor((F.col(index) if isinstance(index, str) else index) / chunk).cast("int")).repartitionById(n, "_wm_chunk").sortWithinPartitions(*order).drop("_wm_chunk")
-    placed.write.mode("overwrite").option("compression", "zstd").parquet(temporary)
-    fs.mkdirs(where)
     Path = spark._jvm.org.apache.hadoop.fs.Path
-    found = set()
-    for status in fs.listStatus(Path(temporary)):
-        name = status.getPath().getName()
-        if name.startswith("part-"):
-            number = int(name.split("-")[1])
-            found.add(number)
-            fs.rename(status.getPath(), Path(f"{folder.rstrip('/')}/chunk{number}"))
-    fs.delete(Path(temporary), True)
-    for number in range(n):
-        if number not in found:
-            empty = f"{folder.rstrip('/')}.empty"
-            df.limit(0).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(empty)
-            for status in fs.listStatus(Path(empty)):
-                if status.getPath().getName().startswith("part-"):
-                    fs.rename(status.getPath(), Path(f"{folder.rstrip('/')}/chunk{number}"))
-            fs.delete(Path(empty), True)
+    fs, temporary = filesystem(spark, f"{beside.rstrip('/')}.writing")
+    placed = df.repartitionById(n, df[number].cast("int")).sortWithinPartitions(*order).drop(number)
+    placed.write.mode("overwrite").option("compression", "zstd").parquet(temporary.toString())
+    made = {int(s.getPath().getName().split("-")[1]): s.getPath() for s in fs.listStatus(temporary) if s.getPath().getName().startswith("part-")}
+    # numbers without rows: an empty file with the same columns
+    lacking = [i for i in range(n) if i not in made]
+    nothing = None
+    if lacking:
+        nothing = Path(f"{beside.rstrip('/')}.nothing")
+        placed.limit(0).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(nothing.toString())
+        blank = next(s.getPath() for s in fs.listStatus(nothing) if s.getPath().getName().startswith("part-"))
+    for i in range(n):
+        target = Path(place(i))
+        fs.delete(target, True)
+        fs.mkdirs(target.getParent())
+        if i in made:
+            fs.rename(made[i], target)
+        else:
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, blank, fs, target, False, spark._jsc.hadoopConfiguration())
+    fs.delete(temporary, True)
+    if nothing is not None:
+        fs.delete(nothing, True)

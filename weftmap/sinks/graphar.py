@@ -12,7 +12,7 @@ from weftmap import types
 from weftmap.errors import Refusal
 from weftmap.operators import graph as G
 from weftmap.sinks import rml
-from weftmap.sinks.files import put, put_chunks
+from weftmap.sinks.files import put, put_numbered
 
 #: The graph's name; its document is NAME.graph.yml.
 NAME = "graph"
@@ -100,6 +100,17 @@ def _count(n: int) -> bytes:
     return n.to_bytes(8, "little", signed=True)
 
 
+def offset_rows(edges: DataFrame, vertices: int, chunk: int) -> DataFrame:
+    """(part, _graphArOffset): for each chunk of source vertices where the edges of each begin in that part, and where the last end."""
+    starts = G.offsets(edges.select(F.col("_graphArSrcIndex").alias("src")), vertices)
+    v = F.col("vertex")
+    own = F.when(v < vertices, F.array(F.floor(v / chunk))).otherwise(F.array().cast("array<bigint>"))
+    ends = F.when((v > 0) & ((v % chunk == 0) | (v == vertices)), F.array(F.floor((v - 1) / chunk))).otherwise(F.array().cast("array<bigint>"))
+    rows = starts.select("vertex", "offset", F.explode(F.concat(own, ends)).alias("part"))
+    first = starts.filter((v % chunk == 0) & (v < vertices)).select(F.floor(v / chunk).alias("part"), F.col("offset").alias("first"))
+    return rows.join(first, "part").select("part", (F.col("offset") - F.col("first")).alias("_graphArOffset"))
+
+
 def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None = None) -> None:
     """Write a graph under ``into``. Without a chunk size each table is one chunk; at scale give one."""
     into = into.rstrip("/")
@@ -108,30 +119,23 @@ def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None
         representable(v)
     chunks = {v.label: max(1, chunk_size or v.count) for v in graph.vertices}
     for v in graph.vertices:
-        put_chunks(vertex_rows(v), f"{into}/vertex/{v.label}/{group_name(v)}", "_graphArVertexIndex", v.count, chunks[v.label], ["_graphArVertexIndex"])
+        place, chunk = f"{into}/vertex/{v.label}/{group_name(v)}", chunks[v.label]
+        rows = vertex_rows(v).withColumn("_wm_chunk", F.floor(F.col("_graphArVertexIndex") / chunk))
+        put_numbered(rows, "_wm_chunk", max(1, -(-v.count // chunk)), ["_graphArVertexIndex"], lambda i, place=place: f"{place}/chunk{i}", place)
         put(spark, f"{into}/vertex/{v.label}/vertex_count", _count(v.count))
-        put(spark, f"{into}/{v.label}.vertex.yml", vertex_info(v, chunks[v.label]))
+        put(spark, f"{into}/{v.label}.vertex.yml", vertex_info(v, chunk))
     for e in graph.edges:
-        source = graph.vertex(e.source)
-        chunk = chunks[e.source]
+        n, chunk = graph.vertex(e.source).count, chunks[e.source]
+        parts = max(1, -(-n // chunk))
         place = f"{into}/edge/{e.name}/ordered_by_source"
-        rows = edge_rows(graph, e).cache()
-        total = 0
-        for part in range(max(1, -(-source.count // chunk))):
-            low = part * chunk
-            own = rows.filter((F.col("_graphArSrcIndex") >= low) & (F.col("_graphArSrcIndex") < low + chunk))
-            n = own.count()
-            total = max(total, n)
-            put_chunks(own, f"{place}/adj_list/part{part}", F.lit(0), 1, 1, ["_graphArSrcIndex", "_graphArDstIndex"])
-            put(spark, f"{place}/edge_count{part}", _count(n))
-            size = min(chunk, source.count - low)
-            local = own.select((F.col("_graphArSrcIndex") - low).alias("src"))
-            starts = G.offsets(local, max(0, size)).select(F.col("offset").alias("_graphArOffset"))
-            put_chunks(starts, f"{place}/offset/.part{part}", F.lit(0), 1, 1, ["_graphArOffset"])
-            _move(spark, f"{place}/offset/.part{part}/chunk0", f"{place}/offset/chunk{part}")
-        rows.unpersist()
-        put(spark, f"{place}/vertex_count", _count(source.count))
-        put(spark, f"{into}/{e.name}.edge.yml", edge_info(e, max(1, total), chunk, chunks[e.target]))
+        rows = edge_rows(graph, e).withColumn("part", F.floor(F.col("_graphArSrcIndex") / chunk))
+        put_numbered(rows, "part", parts, ["_graphArSrcIndex", "_graphArDstIndex"], lambda i, place=place: f"{place}/adj_list/part{i}/chunk0", f"{place}/adj_list")
+        counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a number per part
+        for i in range(parts):
+            put(spark, f"{place}/edge_count{i}", _count(counts.get(i, 0)))
+        put_numbered(offset_rows(rows, n, chunk), "part", parts, ["_graphArOffset"], lambda i, place=place: f"{place}/offset/chunk{i}", f"{place}/offset")
+        put(spark, f"{place}/vertex_count", _count(n))
+        put(spark, f"{into}/{e.name}.edge.yml", edge_info(e, max([1, *counts.values()]), chunk, chunks[e.target]))
     put(spark, f"{into}/mapping.ttl", rml.turtle(graph))
     lines = [f"name: {NAME}"]
     if graph.vertices:
@@ -139,13 +143,3 @@ def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None
     if graph.edges:
         lines += ["edges:", *[f"  - {e.name}.edge.yml" for e in graph.edges]]
     put(spark, f"{into}/{NAME}.graph.yml", "\n".join([*lines, f"version: {VERSION}", ""]))
-
-
-def _move(spark: SparkSession, a: str, b: str) -> None:
-    from weftmap.session import filesystem
-
-    fs, source = filesystem(spark, a)
-    target = spark._jvm.org.apache.hadoop.fs.Path(b)
-    fs.delete(target, False)
-    fs.rename(source, target)
-    fs.delete(source.getParent(), True)
