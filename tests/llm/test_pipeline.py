@@ -7,7 +7,7 @@ import corpus_pipeline as pipeline
 from weftmap.llm import mixing, packing, quality, queries
 from weftmap.llm._session import table
 
-from tests.llm.test_ngram_join import brute
+from test_ngram_join import brute
 
 SF = "/root/testdata/sf0.001"
 

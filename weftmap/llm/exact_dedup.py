@@ -191,11 +191,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat id and text are told apart by their order within a
     partition of (id, text) rows; one of them stays.
     """
-    kept = (
-        exact_dedup(docs, id_col, text_col)
-        .filter("kept")
-        .select(F.col(id_col).alias("_wm_id"), F.unhex("text_sha256").alias("_wm_digest"))
-    )
-    marked = docs.withColumn("_wm_text", digest(docs[text_col]))
-    stay = marked.join(kept, marked[id_col].cast("long").eqNullSafe(kept["_wm_id"]) & (marked["_wm_text"] == kept["_wm_digest"]))
-    return stay.dropDuplicates(["_wm_id", "_wm_digest"]).select(*[stay[c] for c in docs.columns])
+    def keys(id_: Column, text: Column) -> dict[str, Column]:
+        return {"_wm_known": id_.isNotNull(), "_wm_id": F.coalesce(id_.cast("long"), F.lit(0)), "_wm_digest": text}
+
+    kept = exact_dedup(docs, id_col, text_col).filter("kept")
+    kept = kept.select([c.alias(n) for n, c in keys(F.col(id_col), F.unhex("text_sha256")).items()])
+    marked = docs.withColumns(keys(docs[id_col], digest(docs[text_col])))
+    # the texts are dealt once: the join and the choice among repeated rows go by the same columns
+    stay = marked.join(kept, ["_wm_known", "_wm_id", "_wm_digest"], "left_semi")
+    return stay.dropDuplicates(["_wm_known", "_wm_id", "_wm_digest"]).select(*docs.columns)
