@@ -50,7 +50,7 @@ PERCENT = 75
 MERGE = 3
 ROUNDS = 2
 BEST = 4
-BLOCK = 1 << 20  # shingles in a block
+BLOCK = 1 << 18  # shingles in a block
 BUFFER = 2_000_000  # postings that a task holds before it sends them on
 LOW48 = U((1 << 48) - 1)
 
