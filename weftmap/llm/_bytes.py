@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
