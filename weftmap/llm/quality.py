@@ -182,11 +182,23 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample(labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``rows`` labelled ids, those that hash lowest: (_wm_id, _wm_label). Null ids or labels have no say."""
+def labelled(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """(_wm_id, _wm_label), one row per id; null ids or labels have no say, of two labels the greater counts."""
     known = labels.select(F.col(id_col).cast("long").alias("_wm_id"), F.col(label).cast("int").alias("_wm_label")).dropna()
-    one = known.groupBy("_wm_id").agg(F.max("_wm_label").alias("_wm_label"))
-    return one.orderBy(F.xxhash64("_wm_id"), "_wm_id").limit(rows)
+    return known.groupBy("_wm_id").agg(F.max("_wm_label").alias("_wm_label"))
+
+
+def lowest(known: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those whose ids hash lowest.
+
+    Where there are many more, those whose hash is beyond four times the share
+    that is wanted are passed over before the rest is ranked, so the ranking
+    task gets few rows from each partition.
+    """
+    n = known.count()
+    place = F.pmod(F.xxhash64("_wm_id"), F.lit(1 << 40))
+    some = known if n <= 4 * rows else known.filter(place < int((1 << 40) * (4 * rows / n)))
+    return some.orderBy(place, "_wm_id").limit(rows)
 
 
 def _measured(batches):
@@ -205,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     Only the text of a row is an input. Labels without a document are passed over.
     """
-    chosen = sample(labels.filter(fold(F.col(id_col), folds) != held_out), label, max_rows, id_col)
+    chosen = lowest(labelled(labels.filter(fold(F.col(id_col), folds) != held_out), label, id_col), max_rows)
     texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
     joined = texts.join(F.broadcast(chosen), texts["id"] == chosen["_wm_id"]).select("id", F.col("_wm_label").alias("label"), "text")
     rows = joined.mapInArrow(_measured, "id long, label int, x array<double>").orderBy("id", "x").limit(max_rows).collect()

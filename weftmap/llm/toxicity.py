@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from weftmap.llm._bytes import U, Sums, chunks, mix, words
 from weftmap.llm._session import text_or_empty
-from weftmap.llm.quality import fold
+from weftmap.llm.quality import fold, labelled, lowest
 
 MAX_ROWS = 2_000
-MAX_UNITS = 4_000
+MAX_UNITS = 2_000
 LANDMARKS = 192
 POOL = 300  # units among which landmarks are looked for
 AT_ONCE = 1_000  # units whose kernels are computed together
@@ -449,9 +449,8 @@ def _unit_rows(max_units: int):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_units: int = MAX_UNITS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Machine:
     """Train from labelled rows outside the held-out fold: of each label at most ``max_rows``, those whose ids hash lowest."""
-    known = labels.filter(fold(F.col(id_col), folds) != held_out).select(F.col(id_col).cast("long").alias("_wm_id"), F.col(label).cast("int").alias("_wm_label")).dropna()
-    one = known.groupBy("_wm_id").agg(F.max("_wm_label").alias("_wm_label"))
-    some = [one.filter(F.col("_wm_label") == v).orderBy(F.xxhash64("_wm_id"), "_wm_id").limit(max_rows) for v in (0, 1)]
+    one = labelled(labels.filter(fold(F.col(id_col), folds) != held_out), label, id_col)
+    some = [lowest(one.filter(F.col("_wm_label") == v), max_rows) for v in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))
     texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
     joined = texts.join(chosen, texts["id"] == chosen["_wm_id"]).select("id", F.col("_wm_label").alias("label"), "text")
