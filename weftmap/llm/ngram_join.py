@@ -48,7 +48,7 @@ from weftmap.llm.components import components
 WIDTH = 5
 PERCENT = 75
 MERGE = 3
-ROUNDS = 2
+ROUNDS = 1
 BEST = 4
 BLOCK = 1 << 18  # shingles in a block
 BUFFER = 2_000_000  # postings that a task holds before it sends them on
