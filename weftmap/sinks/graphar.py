@@ -5,6 +5,8 @@ The graph document is written last: a folder without it is no graph.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from weftmap.sinks.files import put, put_numbered
 #: The graph's name; its document is NAME.graph.yml.
 NAME = "graph"
 VERSION = "gar/v1"
+TABLES_AT_ONCE = 4
 
 
 def admissible(graph: G.Graph) -> None:
@@ -118,24 +121,31 @@ def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None
     for v in graph.vertices:
         representable(v)
     chunks = {v.label: max(1, chunk_size or v.count) for v in graph.vertices}
-    for v in graph.vertices:
+
+    def put_vertices(v: G.VertexTable) -> None:
         place, chunk = f"{into}/vertex/{v.label}/{group_name(v)}", chunks[v.label]
         rows = vertex_rows(v).withColumn("_wm_chunk", F.floor(F.col("_graphArVertexIndex") / chunk))
-        put_numbered(rows, "_wm_chunk", max(1, -(-v.count // chunk)), ["_graphArVertexIndex"], lambda i, place=place: f"{place}/chunk{i}", place)
+        put_numbered(rows, "_wm_chunk", max(1, -(-v.count // chunk)), ["_graphArVertexIndex"], lambda i: f"{place}/chunk{i}", place)
         put(spark, f"{into}/vertex/{v.label}/vertex_count", _count(v.count))
         put(spark, f"{into}/{v.label}.vertex.yml", vertex_info(v, chunk))
-    for e in graph.edges:
+
+    def put_edges(e: G.EdgeTable) -> None:
         n, chunk = graph.vertex(e.source).count, chunks[e.source]
         parts = max(1, -(-n // chunk))
         place = f"{into}/edge/{e.name}/ordered_by_source"
         rows = edge_rows(graph, e).withColumn("part", F.floor(F.col("_graphArSrcIndex") / chunk))
-        put_numbered(rows, "part", parts, ["_graphArSrcIndex", "_graphArDstIndex"], lambda i, place=place: f"{place}/adj_list/part{i}/chunk0", f"{place}/adj_list")
+        put_numbered(rows, "part", parts, ["_graphArSrcIndex", "_graphArDstIndex"], lambda i: f"{place}/adj_list/part{i}/chunk0", f"{place}/adj_list")
         counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a number per part
         for i in range(parts):
             put(spark, f"{place}/edge_count{i}", _count(counts.get(i, 0)))
-        put_numbered(offset_rows(rows, n, chunk), "part", parts, ["_graphArOffset"], lambda i, place=place: f"{place}/offset/chunk{i}", f"{place}/offset")
+        put_numbered(offset_rows(rows, n, chunk), "part", parts, ["_graphArOffset"], lambda i: f"{place}/offset/chunk{i}", f"{place}/offset")
         put(spark, f"{place}/vertex_count", _count(n))
         put(spark, f"{into}/{e.name}.edge.yml", edge_info(e, max([1, *counts.values()]), chunk, chunks[e.target]))
+
+    # tables do not depend on each other: a few are written at a time
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        for done in [pool.submit(put_edges, e) for e in graph.edges] + [pool.submit(put_vertices, v) for v in graph.vertices]:
+            done.result()
     put(spark, f"{into}/mapping.ttl", rml.turtle(graph))
     lines = [f"name: {NAME}"]
     if graph.vertices:
