@@ -12,7 +12,7 @@ holds more than its range, and the driver holds a number per type.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,6 +214,17 @@ def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexT
     return VertexTable(shape, properties, numbered, multi, first, told.n, tuple(sorted({s for part in parts for s in part.sources})))
 
 
+def shifted(v: VertexTable, first: int) -> VertexTable:
+    """The same vertices, numbered from ``first`` instead of 0."""
+    if first + v.count >= MAX_VERTICES:
+        raise Refusal("run/too-large", "a graph has less than 2^32 vertices")
+    if not first:
+        return v
+    rows = v.rows.withColumn("dense_id", F.col("dense_id") + F.lit(first).cast("long"))
+    multi = {name: values.withColumn("src", F.col("src") + F.lit(first).cast("long")) for name, values in v.multi.items()}
+    return replace(v, rows=rows, multi=multi, first=first)
+
+
 #: A well-formed language tag: a primary subtag, then others of up to eight letters or digits.
 TAG = r"^(?:[a-z]{2,8}|x)(?:-[a-z0-9]{1,8})*$"
 

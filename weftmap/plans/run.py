@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from weftmap.sources import rdf, tables
 from weftmap.sources.location import read_text, resolve
 
 
+TABLES_AT_ONCE = 4
+
+
 class Reader:
     """Opens what a program names. ``base`` is the folder that the program is in, ``limit`` the rows read of each source."""
 
@@ -65,10 +70,10 @@ class Reader:
 
 
 def build(program: Program) -> G.Graph:
-    """All vertices first, type by type in order of class IRIs; then all edges."""
+    """All vertices first, numbered type by type in order of class IRIs; then all edges."""
     out = G.Graph()
-    first = 0
-    for shape in program.classes():
+
+    def vertices(shape) -> G.VertexTable:
         parts = []
         for m in program.mappings:
             if m.shape.iri != shape.iri:
@@ -76,9 +81,14 @@ def build(program: Program) -> G.Graph:
             scope = program.relations[m.relation]
             properties = {c.name: (G.Property.of(c, got) if not types.is_sequence(got) else _sequence(c, got), X.render(e, scope)) for c, e, got in m.properties}
             parts.append(G.VertexPart(scope.df, X.render(m.identity, scope), properties, scope.sources))
-        table = G.build_vertices(shape, parts, first)
-        first += table.count
-        out.vertices.append(table)
+        return G.build_vertices(shape, parts, 0)
+
+    # types do not depend on each other but for where their numbers begin
+    first = 0
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        for table in pool.map(vertices, program.classes()):
+            out.vertices.append(G.shifted(table, first))
+            first += table.count
     G.duplicate_subject(out.vertices)
     keys: list[tuple[str, str, str]] = []
     for m in program.mappings:
@@ -86,17 +96,20 @@ def build(program: Program) -> G.Graph:
             if (m.shape.iri, c.name, target) not in keys:
                 keys.append((m.shape.iri, c.name, target))
     by_class = {v.shape.iri: v for v in out.vertices}
-    for source, label, target in keys:
-        if target not in by_class:
-            continue
+
+    def edges(key: tuple[str, str, str]) -> G.EdgeTable:
+        source, label, target = key
         parts, constraint = [], None
         for m in program.mappings:
             for c, t, identity in m.edges:
-                if (m.shape.iri, c.name, t) == (source, label, target):
+                if (m.shape.iri, c.name, t) == key:
                     scope = program.relations[m.relation]
                     parts.append(G.EdgePart(scope.df, X.render(m.identity, scope), X.render(identity, scope)))
                     constraint = c
-        out.edges.append(G.build_edges(label, constraint.predicate, constraint.single, parts, by_class[source], by_class[target]))
+        return G.build_edges(label, constraint.predicate, constraint.single, parts, by_class[source], by_class[target])
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        out.edges = list(pool.map(edges, [k for k in keys if k[2] in by_class]))
     return out
 
 
