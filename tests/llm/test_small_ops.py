@@ -188,6 +188,20 @@ def test_ids_are_those_of_the_tokenizer(text):
     assert TOKENS()(text).tolist() == HF().encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", "\x1c", " \t"])
+def test_runs_of_over_a_million_blanks(blank):
+    run = blank * (1_100_000 // len(blank))
+    special = next(iter(TOKENS()._special))
+    for text in (run, f"a{run}b", f"{run} 1{run}\n", f"a {run}{special}{run}. b", f"x{run}'s\x1f"):
+        assert TOKENS()(text).tolist() == HF().encode(text, add_special_tokens=False).ids
+
+
+def test_a_document_with_a_very_long_run_is_packed(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_100_000 + "b"), (2, "c")], "doc_id long, text string")
+    rows = packing.pack(docs, queries.tokenizer_path()).collect()
+    assert {r.doc_id: sum(x.length for x in rows if x.doc_id == r.doc_id) for r in rows} == {1: 1_100_002, 2: 2}
+
+
 def TOKENS(kept=[]):
     if not kept:
         kept.append(packing.Tokens(queries.tokenizer_path()))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ BLOCK = 32_768
 SPECIAL = "<|endoftext|>"
 #: The split pattern of byte-level BPE vocabularies of this family, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pattern's search fails on runs of about a million blanks; runs from this length on do not reach it.
+LONG_RUN = 100_000
+#: What the pattern takes for white space; Python's own has four characters more.
+_LONG_RUNS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 class BestFit:
@@ -125,7 +130,23 @@ class Tokens:
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text; special strings in it are their ids."""
-        return self._encoder().encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        encoder = self._encoder()
+
+        def ids(part: str) -> np.ndarray:
+            return encoder.encode_to_numpy(part, allowed_special="all", disallowed_special=())
+
+        if len(text) < LONG_RUN:
+            return ids(text)
+        # a run is one piece, but for its last blank where more text follows that is no special string
+        parts, done = [], 0
+        for run in _LONG_RUNS.finditer(text):
+            end = run.end()
+            if end < len(text) and not text.startswith(tuple(self._special), end):
+                end -= 1
+            parts.append(ids(text[done : run.start()]))
+            parts.append(np.array(encoder._encode_single_piece(text[run.start() : end]), np.uint32))
+            done = end
+        return np.concatenate([*parts, ids(text[done:])])
 
 
 def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
