@@ -208,6 +208,17 @@ def test_rdf_rows(spark, tmp_path):
     assert rdf.pivot(rdf.read_triples(spark, str(tmp_path / "a.ttl")), shape, {"name"}).columns == ["subject", "name"]
 
 
+def test_escapes_of_ntriples_are_those_of_turtle(spark, tmp_path):
+    literals = [r"C:\\new", r"C:\\\\new\\", r"caf\u00e9 \U0001F600!", r"\t\b\n\r\f\"\'\\", r"\\u00e9 \\\u00e9", r"\u005Cn", "plain", "", "ü 𝒳"]
+    lines = [f'<http://x/s{i}\\u00e9> <http://x/n\\U000000e9> "{text}"@en .' for i, text in enumerate(literals)]
+    lines += [r"<http://x/\u00fc> <http://x/knows> <http://x/s0\u00e9> .", r'_:b <http://x/n> "1"^^<http://www.w3.org/2001/XMLSchema#int> .']
+    for end in ("nt", "ttl"):
+        (tmp_path / f"a.{end}").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    nt, ttl = (sorted(map(tuple, rdf.read_triples(spark, str(tmp_path / f"a.{end}")).select("s", "p", "o").collect())) for end in ("nt", "ttl"))
+    assert nt == ttl and len(nt) == len(lines)
+    assert ("http://x/s0é", "http://x/né", "C:\\new") in nt and ("http://x/ü", "http://x/knows", "http://x/s0é") in nt
+
+
 def test_shex():
     a, b = shapes.read_shex(
         """PREFIX x: <http://x/> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>

@@ -1,6 +1,7 @@
 """RDF as tables: the subjects of a class become rows, the predicates that are read become columns.
 
-N-Triples is read by line with one pattern, so it scales with its lines. Turtle
+N-Triples is read by line with one pattern, so it scales with its lines; its
+escapes are undone as those of Turtle are. Turtle
 has no lines of its own: a file is parsed whole, one file per task.
 """
 
@@ -28,6 +29,21 @@ def _file(batches):
 
 _LINE = r'^\s*(<[^>]*>|_:\S+)\s*<([^>]*)>\s*(<[^>]*>|_:\S+|"((?:[^"\\]|\\.)*+)"(?:@([A-Za-z0-9-]+)|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
 
+_PIECE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[\s\S]|[^\\]++"
+
+
+def _unescaped(c):
+    """The text with its escapes undone, each once and from left to right, as :func:`turtle.unescape` does it."""
+
+    def plain(piece):
+        second = F.substring(piece, 2, 1)
+        point = F.decode(F.unhex(F.lpad(F.substring(piece, 3, 8), 8, "0")), "UTF-32")
+        control = F.translate(second, "tbnrf", "\t\b\n\r\f")
+        return F.when(~piece.startswith("\\"), piece).when(F.length(piece) > 2, point).otherwise(control)
+
+    pieces = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
+    return F.when(c.contains("\\"), F.array_join(F.transform(pieces, plain), "")).otherwise(c)
+
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o, tag) of a document: IRIs and lexical forms as text."""
@@ -42,14 +58,11 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     def group(i: int):
         return F.regexp_extract("value", _LINE, i)
 
-    def bare(c):
-        return F.regexp_replace(c, "^<|>$", "")
+    def term(c):
+        return F.when(c.startswith("<"), _unescaped(F.regexp_replace(c, "^<|>$", ""))).otherwise(c)
 
-    text = group(4)
-    for escaped, plain in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        text = F.replace(text, F.lit(escaped), F.lit(plain))
-    o = F.when(group(3).startswith('"'), text).otherwise(bare(group(3)))
-    return lines.select(bare(group(1)).alias("s"), group(2).alias("p"), o.alias("o"), F.nullif(group(5), F.lit("")).alias("tag"))
+    o = F.when(group(3).startswith('"'), _unescaped(group(4))).otherwise(term(group(3)))
+    return lines.select(term(group(1)).alias("s"), _unescaped(group(2)).alias("p"), o.alias("o"), F.nullif(group(5), F.lit("")).alias("tag"))
 
 
 def pivot(triples: DataFrame, shape, wanted: set[str] | None = None) -> DataFrame:
