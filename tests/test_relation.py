@@ -172,6 +172,27 @@ def test_csv_of_several_files_and_none(spark, tmp_path):
         tables.read_csv(spark, str(tmp_path / "gone.csv"))
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_fields_with_line_breaks(spark, tmp_path, end):
+    import csv
+    import io
+
+    rows = [["id", "text", "n"], ["1", "a\nb", "5"], ["2", 'say ""\n"", then "x"', "6"], ["3", "c", "7"], ["4", "d\n\n\n,e", "8"], ["5", '",\n"', "9"]]
+    for name, some in (("a", rows), ("b", [["id", "te\nxt"], ["1", "x"]]), ("c", [r for r in rows if "\n" not in r[1]] + [["6", 'p "q", r', "1"]])):
+        out = io.StringIO()
+        csv.writer(out, lineterminator=end).writerows(some)
+        (tmp_path / f"{name}.csv").write_text(out.getvalue(), newline="")
+        df = tables.read_csv(spark, str(tmp_path / f"{name}.csv"))
+        assert df.columns == some[0] and [[str(v) for v in r] for r in df.collect()] == some[1:]
+        assert dict(df.dtypes)["id"] == "bigint"
+    assert tables._goes_over_lines(spark, str(tmp_path / "a.csv"), ",") and not tables._goes_over_lines(spark, str(tmp_path / "c.csv"), ",")
+    (tmp_path / "d.csv").write_text(f'a|b{end}x"y|"p{end}q"{end}', newline="")
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "d.csv"), "|").collect()] == [('x"y', f"p{end}q")]
+    (tmp_path / "e1.csv").write_text('a,b\n1,"p\nq"\n', newline="")
+    (tmp_path / "e2.csv").write_text(f"a,b{end}2,x{end}3,y{end}", newline="")
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "e*.csv")).collect())) == [(1, "p\nq"), (2, "x"), (3, "y")]
+
+
 def test_json_by_line_and_as_an_array(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a":1,"d":"2024-01-01"}\n{"a":2,"d":null}\n')
     (tmp_path / "b.json").write_text('[{"a":1,"d":"2024-01-01"},\n {"a":2,"d":null}]')

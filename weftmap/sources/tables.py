@@ -7,6 +7,8 @@ sample, identifiers with leading zeros stay text, and headers keep their names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,16 +69,55 @@ def _type(row, name: str) -> T.DataType:
     return T.StringType()
 
 
+def _goes_over_lines(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether some line does not end all quoted fields that it begins.
+
+    Doubled quotes and then whole quoted fields are taken out of each line; where
+    a quote is left, a record may go over the line's end, and is read so.
+    """
+    sep = re.escape(delimiter)
+    lines = spark.read.text(path).filter(F.col("value").contains('"'))
+    left = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), f'(^|{sep})"[^"]*+"(?={sep}|$)', "$1")
+    return bool(lines.filter(left.contains('"')).limit(1).collect())
+
+
+def _line_end(spark: SparkSession, path: str) -> str | None:
+    """How records end, where the reader would not find it or would change breaks in quotes; else None.
+
+    The reader takes the first break of a file, also one in a quoted header, and
+    makes ``\\r\\n`` in quotes ``\\n`` unless told. Where files end records in
+    both ways it finds the way of each.
+    """
+    lines = spark.read.text(path, lineSep="\n")
+    head = ""
+    for row in lines.limit(1000).collect():
+        head += row.value + "\n"
+        if head.count('"') % 2 == 0:
+            break
+    if "\r" in re.sub('"[^"]*"', "", head).rstrip("\r\n"):
+        return "\r"
+    end = "\r\n" if head.endswith("\r\n") else "\n"
+    if re.search("[\r\n]", head.rstrip("\r\n")):
+        return end
+    starts = lines.filter("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = starts.groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    return end if first.select(F.col("value").endswith("\r")).distinct().count() == 1 else None
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """A file, a glob or a folder with a header; an empty field is null.
 
-    A record is a line, so that a large file is read by many tasks. Files under
-    one place share the header of the first; a file with another one is refused.
+    A large file is read by many tasks where all records are lines; if a quoted
+    field goes over a line's end somewhere, each file is read by one task. Files
+    under one place share the header of the first; a file with another one is refused.
     """
     if delimiter is not None and len(delimiter.encode()) != 1:
         raise Refusal("provider/invalid-reader-option", "a delimiter is one byte")
     check_exists(spark, path)
     options = {"sep": delimiter or ",", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+    if _goes_over_lines(spark, path, options["sep"]):
+        end = _line_end(spark, path)
+        options |= {"multiLine": True} | ({"lineSep": end} if end else {})
     first = spark.read.options(header=False, inferSchema=False, **options).csv(path).limit(1).collect()
     if not first:
         raise Refusal("source/unparseable", f"`{path}` is empty")
