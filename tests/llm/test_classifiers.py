@@ -42,6 +42,18 @@ def test_toxicity(spark):
     assert (score[label == 1] >= 0.3).mean() > 0.6 and (score[label == 0] >= 0.3).mean() < 0.06
 
 
+def test_toxicity_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.lang for r in table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    rows = [r for r in queries.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    for lang in ("de", "en", "es", "fr"):
+        own = [(r.predicted, labels[r.doc_id]) for r in rows if docs[r.doc_id] == lang]
+        caught, false = ([p for p, y in own if y == label] for label in (1, 0))
+        print(lang, sum(caught), len(caught), sum(false), len(false))
+        assert np.mean(caught) > 0.7 and np.mean(false) < 0.2, lang
+
+
 def make(sentences):
     texts = [s.encode() for s in sentences]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))

@@ -14,8 +14,10 @@ over triples of letters, so a unit is scored by looking up its triples.
 Training takes at most ``MAX_ROWS`` labelled rows per label and ``MAX_UNITS``
 units of each. Labels are those of texts, sentences are what is trained on: all
 sentences of a clean text are clean; a sentence of a toxic text is toxic where
-one of its units has a piece of four letters that toxic texts have far oftener
-than clean ones. A toxic sentence stands for its worst unit, and for copies of
+one of its units, or a piece of four letters of it, is one that toxic texts have
+far oftener than clean ones. Pieces come first; whole units, against a bar of
+their own, tell of texts where no piece does, as the pieces of a toxic word may
+be ordinary in its language. A toxic sentence stands for its worst unit, and for copies of
 it with a letter put in; clean ones for their units, of which those that the
 machine takes for bad train its next round. A text is scored, as a whole, by its
 worst unit and by how many are bad.
@@ -40,6 +42,7 @@ LANDMARKS = 192
 POOL = 300  # units among which landmarks are looked for
 AT_ONCE = 1_000  # units whose kernels are computed together
 NEGATIVES = 12_000  # clean units that a round trains on
+PIECES = (4, 0)  # lengths of the pieces by which toxic sentences are told; 0: whole units
 SPAN = 7
 DECAY = 0.7
 FOLDS = 4
@@ -271,44 +274,53 @@ def _distinct(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *_some(letters, first, at), inverse
 
 
-def _suspicion(rows: Rows, letters: np.ndarray, first: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """For each distinct unit the largest log ratio, over its pieces of four letters, of how often toxic and clean texts have that piece.
+def _pieces(letters: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(unit, piece) of all pieces of a length, sorted by unit, and how many pieces differ; length 0: the whole unit."""
+    n = len(first) - 1
+    if not length:
+        return np.arange(n), np.arange(n), n
+    owner = np.repeat(np.arange(n), np.diff(first))
+    m = max(0, len(letters) - length + 1)
+    inside = np.flatnonzero(owner[:m] == owner[length - 1 : m + length - 1])
+    piece = np.zeros(len(inside), np.int64)
+    for k in range(length):
+        piece = piece * ALPHABET + letters[inside + k]
+    kinds, piece = np.unique(piece, return_inverse=True)
+    return owner[inside], piece, len(kinds)
+
+
+def _suspicion(rows: Rows, letters: np.ndarray, first: np.ndarray, inverse: np.ndarray):
+    """For each length of pieces, and for each distinct unit: the largest log ratio, over its pieces, of how often toxic and clean texts have that piece.
 
     A piece counts once per text and once per unit in front of it, whichever is
     less, so copies of one text do not add up.
     """
     n = len(first) - 1
-    owner = np.repeat(np.arange(n), np.diff(first))
-    m = max(0, len(letters) - 3)
-    inside = np.flatnonzero(owner[:m] == owner[3 : m + 3])
-    if not len(inside):
-        return np.full(n, -9.0)
-    piece = ((letters[inside].astype(np.int64) * ALPHABET + letters[inside + 1]) * ALPHABET + letters[inside + 2]) * ALPHABET + letters[inside + 3]
-    kinds, piece = np.unique(piece, return_inverse=True)
-    unit = owner[inside]  # sorted
-    edge = np.searchsorted(unit, np.arange(n + 1))
     before = np.concatenate(([0], inverse[:-1] + 1))
-    counts = []
-    for label in (1, 0):
-        side = rows.label[rows.text] == label
-        both = []
-        for context in (rows.text, before):
-            count = np.zeros(len(kinds))
-            for part in range(16):
-                own = side & (context % 16 == part)
-                seen = np.unique(context[own].astype(np.int64) * n + inverse[own])
-                where, u = seen // n, seen % n
-                each = np.unique(np.repeat(where, edge[u + 1] - edge[u]) * len(kinds) + piece[_spans(edge, u)])
-                count += np.bincount(each % len(kinds), minlength=len(kinds))
-            both.append(count)
-        counts.append(np.minimum(*both))
-    bad, good = counts
     n_bad, n_good = max(1, (rows.label > 0).sum()), max(1, (rows.label == 0).sum())
-    # shrunk: a piece met once or twice says little
-    ratio = np.log((bad + 0.5) / (n_bad + 1) / ((good + 0.5) / (n_good + 1))) * bad / (bad + 2)
-    out = np.full(n, -9.0)
-    np.maximum.at(out, unit, ratio[piece])
-    return out
+    for length in PIECES:
+        unit, piece, kinds = _pieces(letters, first, length)
+        edge = np.searchsorted(unit, np.arange(n + 1))
+        counts = []
+        for label in (1, 0):
+            side = rows.label[rows.text] == label
+            both = []
+            for context in (rows.text, before):
+                count = np.zeros(kinds)
+                for part in range(16):
+                    own = side & (context % 16 == part)
+                    seen = np.unique(context[own].astype(np.int64) * n + inverse[own])
+                    where, u = seen // n, seen % n
+                    each = np.unique(np.repeat(where, edge[u + 1] - edge[u]) * kinds + piece[_spans(edge, u)])
+                    count += np.bincount(each % kinds, minlength=kinds)
+                both.append(count)
+            counts.append(np.minimum(*both))
+        bad, good = counts
+        # shrunk: a piece met once or twice says little
+        ratio = np.log((bad + 0.5) / (n_bad + 1) / ((good + 0.5) / (n_good + 1))) * bad / (bad + 2)
+        out = np.full(n, -9.0)
+        np.maximum.at(out, unit, ratio[piece])
+        yield out
 
 
 def _spans(first: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -365,15 +377,20 @@ def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1
     rng = np.random.default_rng(seed)
     letters, first, inverse = _distinct(rows)
     kinds = len(first) - 1
-    suspicion = _suspicion(rows, letters, first, inverse)
-    occurrence = suspicion[inverse]
     in_bad = rows.label[rows.text] > 0
-    # a sentence of a toxic text is toxic where it looks worse than nearly all clean texts
-    worst = _worst(occurrence, rows.text)
-    clean = np.sort(occurrence[worst][~in_bad[worst]])
-    bar = max(0.0, clean[int(0.98 * (len(clean) - 1))] if len(clean) else 0.0)
-    at = _worst(occurrence, rows.sentence)
-    positive = at[in_bad[at] & (occurrence[at] > bar)]
+    # a sentence of a toxic text is toxic where it looks worse than nearly all clean texts, by pieces of the first length that tells any of its text
+    suspicion, told, found = np.full(kinds, -9.0), np.zeros(n, bool), []
+    for ratio in _suspicion(rows, letters, first, inverse):
+        occurrence = ratio[inverse]
+        worst = _worst(occurrence, rows.text)
+        clean = np.sort(occurrence[worst][~in_bad[worst]])
+        bar = max(0.0, clean[int(0.98 * (len(clean) - 1))] if len(clean) else 0.0)
+        at = _worst(occurrence, rows.sentence)
+        at = at[in_bad[at] & (occurrence[at] > bar) & ~told[rows.text[at]]]
+        told[rows.text[at]] = True
+        suspicion[inverse[at]] = np.maximum(suspicion[inverse[at]], ratio[inverse[at]])
+        found.append(at)
+    positive = np.concatenate(found)
     if not len(positive):
         return nothing
     times = np.bincount(inverse[positive], minlength=kinds)
