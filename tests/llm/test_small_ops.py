@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftmap.llm import chat, exact_dedup, merkle, mixing, packing, queries, secret_ledger
+from weftmap.llm._bytes import chunks
 from weftmap.llm._session import table
 
 
@@ -49,6 +50,47 @@ def test_exact_dedup_odd_rows(odd, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0 and exact_dedup.drop_copies(nothing).count() == 0
 
 
+def test_exact_dedup_ids_and_contents(spark, monkeypatch):
+    """The greatest id is an id, ids that are texts are refused, a digest alone makes no copy, and reruns choose the same row."""
+    last = (1 << 63) - 1
+    docs = spark.createDataFrame([(last, "only"), (-last - 1, "least"), (7, "a  b"), (last, "a b")], "doc_id long, text string")
+    rows = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert rows == {(last, sha("only")): (last, 1, True), (-last - 1, sha("least")): (-last - 1, 1, True), (7, sha("a b")): (7, 2, True), (last, sha("a b")): (7, 2, False)}
+    assert exact_dedup.drop_copies(docs).count() == 3
+    with pytest.raises(TypeError):
+        exact_dedup.exact_dedup(docs.withColumn("doc_id", docs["text"]))
+    twice = spark.createDataFrame([(1, "x", s) for s in "bcda"] + [(2, "x", "e")], "doc_id long, text string, source string")
+    assert len({tuple(exact_dedup.drop_copies(twice.repartition(n, "source")).collect()) for n in (1, 2, 5)}) == 1
+    folder = exact_dedup.Folder()
+    folder.add(b"\0" * 32, b"one", 1, 1)
+    with pytest.raises(ValueError, match="share the digest"):
+        folder.add(b"\0" * 32, b"two", 2, 1)
+
+
+def test_exact_dedup_index_is_emptied(spark, monkeypatch):
+    """Rows beyond the bound of live content leave in several partial rows and still meet."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact_dedup, "LIVE", 2000)
+    monkeypatch.setattr(exact_dedup, "chunks", lambda c: chunks(c, 500))
+    texts = [f"text {i % 7} " + "y" * 200 for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts)], names=["id", "text"])
+    partial = pa.Table.from_batches(list(exact_dedup._fold([batch])))
+    assert 7 < partial.num_rows < 100 and sum(partial["group_size"].to_pylist()) == 100
+    met = pa.Table.from_batches(list(exact_dedup._meet(partial.sort_by("digest").to_batches()))).to_pylist()
+    assert sorted((r["keep_id"], r["group_size"]) for r in met) == [(i, 15 if i < 2 else 14) for i in range(7)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab \t\n\x0b\x1cé", max_size=12)), max_size=6))
+def test_normalised_bytes(texts):
+    import pyarrow as pa
+
+    got = [bytes(raw[a:b]).decode() for _, _, raw, at in exact_dedup.digests_of(pa.array(texts, pa.string())) for a, b in zip(at, at[1:])]
+    assert got == [norm(t) for t in texts]
+
+
 def waterfill(sizes, max_rate=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}

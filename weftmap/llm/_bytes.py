@@ -3,8 +3,13 @@
 An Arrow string column is one buffer of bytes with offsets. The functions here
 work on slices of it that hold whole texts, about ``CHUNK`` bytes each (one
 longer text is a slice of its own), so memory is bounded by that and by the
-longest text. Hashes are polynomials over bytes modulo 2^64: with a running sum
-of ``T[b[i]] * P^i`` any substring's hash is a difference and a product.
+longest text.
+
+Two kinds of hashes: :class:`Sums` are polynomials over bytes modulo 2^64, so
+that every window of a length has its hash by a difference and a product. They
+only choose places: texts are known whose polynomials agree. What stands for a
+content is a hash of :class:`Blocks`, 8 bytes at a time, each of which is mixed
+on its own; two lanes of it are 128 bits.
 """
 
 from __future__ import annotations
@@ -60,8 +65,55 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLOCKS = 1 << 19  # blocks that are mixed at a time
+
+
+class Blocks:
+    """Hashes of substrings of one buffer, by blocks of 8 bytes; no arithmetic relation between blocks survives the mixing."""
+
+    def __init__(self, data: np.ndarray, lower: bool = False):
+        self._padded = np.zeros(len(data) + 8, np.uint8)
+        self._padded[: len(data)] = _LOWER[data] if lower else data
+        self._wide = np.ndarray((len(data) + 1,), "<u8", self._padded, strides=(1,))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each substring; other lanes are independent hashes."""
+        size = ends - starts
+        blocks = np.maximum(1, (size + 7) >> 3)
+        if (blocks == 1).all():
+            return self._some(starts, size, np.arange(len(size)), np.zeros(len(size), np.int64), lane)
+        out = np.empty(len(size), U)
+        upto = np.cumsum(blocks)
+        low = 0
+        while low < len(size):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _BLOCKS, "right")))
+            n = blocks[low:high]
+            owner = np.repeat(np.arange(high - low), n)
+            out[low:high] = self._some(starts[low:high], size[low:high], owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), lane)
+            low = high
+        return out
+
+    def _some(self, starts, size, owner, k, lane) -> np.ndarray:
+        """``k``: the number of each block within its substring, ``owner``: which that is."""
+        alone = len(owner) == len(size)
+        at, left = (starts, size) if alone else (starts[owner] + 8 * k, size[owner] - 8 * k)
+        block = self._wide[at]
+        last = np.flatnonzero(left < 8)
+        block[last] &= (U(1) << (U(8) * left[last].astype(U))) - U(1)
+        seed = U((0xA0761D6478BD642F * (2 * lane + 1)) & _MASK)
+        mixed = mix(block ^ seed)
+        if not alone:
+            mixed *= mix(k.astype(U) * U(0xD6E8FEB86659FD93) + seed) | U(1)
+            mixed = np.add.reduceat(mixed, np.flatnonzero(k == 0)) if len(k) else np.zeros(0, U)
+        else:
+            mixed *= mix(np.array([seed], U)) | U(1)
+        return mix(mixed + size.astype(U) * U(0x8EBC6AF09C88C6E3) + seed)
+
+
 class Sums:
-    """Substring hashes of one buffer."""
+    """Polynomials of substrings of one buffer."""
 
     def __init__(self, data: np.ndarray, lower: bool = False):
         power, self._inverse = powers(len(data) + 1)
@@ -101,6 +153,17 @@ def chunks(column: pa.Array, size: int = CHUNK):
         first = last
 
 
+def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the same texts with every run of white space as one space."""
+    white = WHITE[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(white[1:] & white[:-1])
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = True  # a text's first byte stays, whatever is before it
+    out = data[keep]
+    out[white[keep]] = 32
+    return out, np.concatenate(([0], np.cumsum(keep)))[offsets]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the first of its words (n + 1 numbers)."""
     ink = ~WHITE[data]

@@ -6,11 +6,12 @@ import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftmap import session
 from weftmap.session import partitions
 
-__all__ = ["cut", "partitions", "table", "text_or_empty"]
+__all__ = ["cut", "integer_id", "partitions", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +33,13 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return written
 
 
+def integer_id(docs: DataFrame, id_col: str) -> Column:
+    """The id column as a long. Ids are whole numbers in all operators of this package that compare them; others are refused."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"`{id_col}` holds {kind.simpleString()}, not whole numbers")
+    return docs[id_col].cast("long")
+
+
 def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -3,30 +3,35 @@
 Texts are equal when they are identical after every run of white space has
 become one space. Each text is known by the SHA-256 digest of that form.
 
-:class:`CuckooIndex` is a cuckoo filter whose slots hold a short fingerprint,
-and beside it the content that the fingerprint stands for: the whole 32-byte
-digest and its payload. A fingerprint hit counts only when the stored digest is
-the same. Digests can be deleted again, and a full table grows by rehashing
-from the digests that it stores, so there is no false answer and no lost key.
-
-Distribution: every task folds its rows into an index of its own first, so a
-digest with a third of all rows leaves each task as one row; the partial rows
-meet by digest and are folded again. An index holds the digests of one
-partition, never of the corpus.
+:class:`CuckooIndex` is a cuckoo filter whose slots hold a short fingerprint of
+a digest; a fingerprint that hits is held against the stored digest and then
+against the stored content itself. Digests can be deleted again, and a full
+table grows by rehashing from the digests that it stores, so there is no false
+answer and no lost key.
+
+Distribution: every task folds its rows into an index first, so a text with a
+third of all rows leaves each task as a row or a few; the partial rows meet
+by digest, sorted, and are folded again. An index holds live digests only: those
+met since ``LIVE`` bytes of content went by, and behind the sort those of the
+digest at hand. The others have been sent on and deleted, so the index does not
+grow with the input.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftmap.llm._session import partitions, text_or_empty
+from weftmap.llm._bytes import chunks, normalised
+from weftmap.llm._session import integer_id, partitions, text_or_empty
 
 SLOTS = 4
 MAX_KICKS = 200
-WHITE = r"[\x20\x09-\x0D]+"
-NO_ID = (1 << 63) - 1
+LIVE = 1 << 24  # bytes of content that an index holds before it is emptied
 
 
 class CuckooIndex:
@@ -117,46 +122,114 @@ class CuckooIndex:
             yield from bucket
 
 
-def normalised(text: Column) -> Column:
-    return F.regexp_replace(text_or_empty(text), WHITE, " ")
-
-
-def digest(text: Column) -> Column:
-    """SHA-256 of the normalised text in UTF-8, as 32 bytes."""
-    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+def digests_of(column: pa.Array):
+    """(first row, digests, bytes, offsets) of slices of a column of texts, all of them normalised."""
+    for first, data, offsets in chunks(column):
+        data, offsets = normalised(data, offsets)
+        raw = memoryview(data)
+        yield first, [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], raw, offsets
+
+
+class Folder:
+    """An index whose payloads are ``[content, least id, rows]``; :meth:`emptied` sends all on and deletes them."""
+
+    def __init__(self):
+        self.index = CuckooIndex()
+        self.held = 0
+
+    def add(self, key: bytes, content, doc: int | None, n: int) -> None:
+        if (hit := self.index.find(key)) is None:
+            content = bytes(content)
+            self.index.insert(key, [content, doc, n])
+            self.held += len(content) + 100
+            return
+        known = hit[1]
+        if known[0] != content:
+            raise ValueError(f"two texts share the digest {key.hex()}")
+        known[2] += n
+        if doc is not None and (known[1] is None or doc < known[1]):
+            known[1] = doc
+
+    def emptied(self) -> list[tuple]:
+        rows = [(key, *payload) for key, payload in self.index.items()]
+        for key, *_ in rows:
+            self.index.delete(key)
+        self.held = 0
+        return rows
+
+
+PARTIAL = "digest binary, content binary, keep_id long, group_size long"
+
+
+def _rows(rows: list[tuple], with_content: bool):
+    """Record batches of bounded size."""
+    while rows:
+        n, size = 0, 0
+        while n < len(rows) and n < 20_000 and size < 1 << 22:
+            size += len(rows[n][1])
+            n += 1
+        part, rows = rows[:n], rows[n:]
+        columns = [pa.array([r[0] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.int64())]
+        names = ["digest", "keep_id", "group_size"]
+        if with_content:
+            columns.insert(1, pa.array([r[1] for r in part], pa.binary()))
+            names.insert(1, "content")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _fold(batches):
-    """(digest, id, n) rows -> one row for each digest, the least id and the sum of n."""
-    index = CuckooIndex()
+    """(id, text) rows -> digest, content, least id and number of the rows that this task met between two emptyings."""
+    folder = Folder()
     for batch in batches:
-        for key, doc, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            doc = NO_ID if doc is None else doc
-            if (hit := index.find(key)) is None:
-                index.insert(key, [doc, n])
-            else:
-                hit[1][1] += n
-                if doc < hit[1][0]:
-                    hit[1][0] = doc
-    rows = list(index.items())
-    for at in range(0, len(rows), 20_000):
-        part = rows[at : at + 20_000]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k for k, _ in part], pa.binary()),
-                pa.array([None if p[0] == NO_ID else p[0] for _, p in part], pa.int64()),
-                pa.array([p[1] for _, p in part], pa.int64()),
-            ],
-            names=["digest", "keep_id", "group_size"],
-        )
-
-
-def groups(digests: DataFrame) -> DataFrame:
-    """(digest, id) rows -> (digest, keep_id, group_size), by two folds into cuckoo indexes."""
-    schema = "digest binary, keep_id long, group_size long"
-    partial = digests.select("digest", "id", F.lit(1).cast("long").alias("n")).mapInArrow(_fold, schema)
-    n = partitions(digests.sparkSession)
-    return partial.repartition(n, "digest").mapInArrow(_fold, schema)
+        ids = batch.column(0).to_pylist()
+        for first, keys, raw, offsets in digests_of(batch.column(1)):
+            for i, key in enumerate(keys):
+                folder.add(key, raw[offsets[i] : offsets[i + 1]], ids[first + i], 1)
+            if folder.held >= LIVE:
+                yield from _rows(folder.emptied(), True)
+    yield from _rows(folder.emptied(), True)
+
+
+def _meet(batches):
+    """Partial rows sorted by digest -> one row for each digest; a digest is live until the next one comes."""
+    folder, out, now = Folder(), [], None
+    for batch in batches:
+        ids, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for i in range(len(ids)):
+            key = batch.column(0)[i].as_py()
+            if key != now:
+                out += folder.emptied()
+                now = key
+            folder.add(key, memoryview(batch.column(1)[i].as_buffer()), ids[i], sizes[i])
+        out = [(k, b"", d, n) for k, _, d, n in out]
+        if len(out) >= 20_000:
+            yield from _rows(out, False)
+            out = []
+    yield from _rows([(k, b"", d, n) for k, _, d, n in out + folder.emptied()], False)
+
+
+def _known(batches):
+    for batch in batches:
+        for first, keys, _, _ in digests_of(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(keys)), pa.array(keys, pa.binary())], names=["id", "digest"])
+
+
+def _marked(columns: list[str], at: int):
+    """Rows with all their columns and, last, the digest of the text at ``at``."""
+
+    def run(batches):
+        for batch in batches:
+            for first, keys, _, _ in digests_of(batch.column(at)):
+                part = batch.slice(first, len(keys))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*columns, "_wm_digest"])
+
+    return run
+
+
+def groups(own: DataFrame) -> DataFrame:
+    """(id, text) rows -> (digest, keep_id, group_size), by two folds into cuckoo indexes."""
+    partial = own.mapInArrow(_fold, PARTIAL).repartition(partitions(own.sparkSession), "digest").sortWithinPartitions("digest")
+    return partial.mapInArrow(_meet, "digest binary, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,11 +238,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of equal texts the row with the smallest id stays. A null text is an empty
     one; a null id loses against any other. Rows that repeat both id and text
     all count in group_size, and exactly one of them has kept = true (rows of a
-    group without any id: one of them). An empty table gives an empty table.
+    group without any id: one of them). An empty table gives an empty table. Ids
+    are whole numbers, others are refused.
     """
-    digests = docs.select(docs[id_col].cast("long").alias("id"), digest(docs[text_col]).alias("digest"))
-    repeats = digests.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("_wm_n"))
-    joined = repeats.join(groups(digests), "digest")
+    own = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    repeats = own.mapInArrow(_known, "id long, digest binary").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("_wm_n"))
+    joined = repeats.join(groups(own), "digest")
     return joined.select(
         F.col("id").alias(id_col),
         F.col("keep_id"),
@@ -188,15 +262,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that repeat id and text are told apart by their order within a
-    partition of (id, text) rows; one of them stays.
+    Of rows that repeat id and text the one stays whose other columns hash
+    lowest, so reruns agree (columns of maps have no say).
     """
-    def keys(id_: Column, text: Column) -> dict[str, Column]:
-        return {"_wm_known": id_.isNotNull(), "_wm_id": F.coalesce(id_.cast("long"), F.lit(0)), "_wm_digest": text}
-
     kept = exact_dedup(docs, id_col, text_col).filter("kept")
-    kept = kept.select([c.alias(n) for n, c in keys(F.col(id_col), F.unhex("text_sha256")).items()])
-    marked = docs.withColumns(keys(docs[id_col], digest(docs[text_col])))
+    kept = kept.select(F.col(id_col).isNotNull().alias("_wm_known"), F.coalesce(id_col, F.lit(0).cast("long")).alias("_wm_id"), F.unhex("text_sha256").alias("_wm_digest"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_wm_digest", T.BinaryType())])
+    marked = docs.mapInArrow(_marked(docs.columns, docs.columns.index(text_col)), schema)
+    marked = marked.withColumns({"_wm_known": F.col(id_col).isNotNull(), "_wm_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))})
     # the texts are dealt once: the join and the choice among repeated rows go by the same columns
     stay = marked.join(kept, ["_wm_known", "_wm_id", "_wm_digest"], "left_semi")
-    return stay.dropDuplicates(["_wm_known", "_wm_id", "_wm_digest"]).select(*docs.columns)
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = stay.groupBy("_wm_known", "_wm_id", "_wm_digest").agg(F.min_by(row, order).alias("_wm_row"))
+    return chosen.select("_wm_row.*")
