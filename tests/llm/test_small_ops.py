@@ -74,7 +74,7 @@ def test_exact_dedup_index_is_emptied(spark, monkeypatch):
 
     monkeypatch.setattr(exact_dedup, "LIVE", 2000)
     monkeypatch.setattr(exact_dedup, "chunks", lambda c: chunks(c, 500))
-    texts = [f"text {i % 7} " + "y" * 200 for i in range(100)]
+    texts = [f"text {i % 7} é" + "y" * 200 for i in range(100)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts)], names=["id", "text"])
     partial = pa.Table.from_batches(list(exact_dedup._fold([batch])))
     assert 7 < partial.num_rows < 100 and sum(partial["group_size"].to_pylist()) == 100

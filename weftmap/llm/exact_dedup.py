@@ -200,7 +200,7 @@ def _meet(batches):
             if key != now:
                 out += folder.emptied()
                 now = key
-            folder.add(key, memoryview(batch.column(1)[i].as_buffer()), ids[i], sizes[i])
+            folder.add(key, memoryview(batch.column(1)[i].as_buffer()).cast("B"), ids[i], sizes[i])
         out = [(k, b"", d, n) for k, _, d, n in out]
         if len(out) >= 20_000:
             yield from _rows(out, False)
