@@ -94,6 +94,56 @@ def test_groups_chains_and_shared_passages(spark, rounds):
     assert run(docs, rounds=rounds) == brute(list(enumerate(texts)))
 
 
+def thue_morse(letters, power):
+    text = letters[0]
+    for _ in range(power):
+        text += text.translate(str.maketrans(letters, letters[::-1]))
+    return text
+
+
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement agree under every polynomial modulo 2^64; they are two classes."""
+    a, b = thue_morse("ab", 10), thue_morse("ba", 10)
+    texts = [a, b, f"{a} {b}", f"{b} {a}", f"w x y z {a}", f"w x y z {b}", a.upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert run(docs) == brute(list(enumerate(texts)))
+    assert [r[2] for r in run(docs)] == [0, 1, 2, 3, 4, 5, 0]
+
+
+def test_a_class_that_two_sets_share_is_made_anew(spark, monkeypatch):
+    """With classes of one bit under the first salts, the result is the same."""
+    made = []
+
+    def narrow(width, seed):
+        made.append(seed)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch, first, sets in ngram_join._each(batches, 1, width):
+                told = [ngram_join.class_of(s, seed) for s in sets]
+                ids, n = batch.column(0).slice(first, len(sets)), pa.array([len(s[0]) for s in sets], pa.int64())
+                classes = pa.array([c & 1 if seed < 2 else c for c, _ in told], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, n, classes, pa.array([c for _, c in told], pa.int64())], names=["id", "n_shingles", "class", "check"])
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_classes", narrow)
+    texts = ["a b c", "d e f", "g h", "a b c", "one two three four five six"]
+    rows = list(enumerate(texts))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert made == [0, 1, 2]
+
+
+def test_ids(spark):
+    last = (1 << 63) - 1
+    rows = [(last, "a b c d e f"), (-last - 1, "x y"), (None, "A b c d e F")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs) == brute(rows)
+    with pytest.raises(TypeError):
+        ngram_join.ngram_join(docs.withColumn("doc_id", docs["text"]))
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(1, 60)] + [(1000, i) for i in range(900, 990)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]

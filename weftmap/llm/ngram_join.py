@@ -27,12 +27,18 @@ T = ceil(percent * n / 100) of the inverted lists of its shingles.
 
 All steps go by hash of shingle, class or component; a list, class or component
 with a third of all rows is partial rows that combine before a shuffle, or rows
-of a join that Spark can split. The driver sees counts only. 64-bit hashes stand
-for shingles (of 48 bits and the partition in the index) and classes.
+of a join that Spark can split. The driver sees counts only.
+
+In the index 64-bit hashes stand for shingles (48 bits and the partition, which
+is the upper bits). A class is 64 bits of a digest over two independent hashes of
+each shingle; the other 64 bits check it. Should two sets of shingles share a
+class, all classes are made anew by another salt, so documents are one class only
+where 128 bits agree.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from itertools import groupby
 
@@ -41,8 +47,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftmap.llm._bytes import Sums, U, chunks, mix, words
-from weftmap.llm._session import cut, partitions, text_or_empty
+from weftmap.llm._bytes import Blocks, U, chunks, mix, words
+from weftmap.llm._session import cut, integer_id, partitions, text_or_empty
 from weftmap.llm.components import components
 
 WIDTH = 5
@@ -51,43 +57,52 @@ MERGE = 3
 ROUNDS = 1
 BEST = 4
 BLOCK = 1 << 18  # shingles in a block
+SALTS = 8
 BUFFER = 2_000_000  # postings that a task holds before it sends them on
 LOW48 = U((1 << 48) - 1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each text, its distinct shingles as sorted 64-bit hashes; A-Z count as a-z."""
-    starts, ends, first = words(data, offsets)
-    n = len(starts)
-    if not n:
-        return [np.zeros(0, U)] * (len(offsets) - 1)
-    word = mix(Sums(data, lower=True).of(starts, ends))
-    factors = mix(np.arange(1, width + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
-    rolled = np.zeros(max(0, n - width + 1), U)
+def _rolled(word: np.ndarray, width: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``width`` words in a row from hashes of words, and what each of them is multiplied by."""
+    factors = mix(np.arange(1, width + 1, dtype=U) * U(0xA24BAED4963EE407) + U(lane)) | U(1)
+    n = max(0, len(word) - width + 1)
+    rolled = np.zeros(n, U)
     for k in range(width):
-        rolled += word[k : n - width + 1 + k] * factors[k]
-    rolled = mix(rolled)
+        rolled += word[k : n + k] * factors[k]
+    return mix(rolled), factors
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles, as sorted 64-bit hashes and as a second hash of each of them; A-Z count as a-z."""
+    starts, ends, first = words(data, offsets)
+    if not len(starts):
+        return [(np.zeros(0, U), np.zeros(0, U))] * (len(offsets) - 1)
+    blocks = Blocks(data, lower=True)
+    lanes = []
+    for lane in (0, 1):
+        word = blocks.of(starts, ends, lane)
+        lanes.append((word, *_rolled(word, width, lane)))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            own = np.sort(rolled[a : b - width + 1])
+            own = lanes[0][1][a : b - width + 1]
+            order = np.argsort(own)
+            own = own[order]
             fresh = np.empty(len(own), bool)
             fresh[0] = True
             np.not_equal(own[1:], own[:-1], out=fresh[1:])
-            out.append(own[fresh])
+            out.append((own[fresh], lanes[1][1][a : b - width + 1][order][fresh]))
         elif b > a:
-            whole = (word[a:b] * factors[: b - a]).sum(dtype=U) + U(b - a)
-            out.append(mix(np.array([whole], U) ^ U(0x5851F42D4C957F2D)))
+            out.append(tuple(mix(np.array([(word[a:b] * factors[: b - a]).sum(dtype=U) + U(b - a)], U) ^ U(0x5851F42D4C957F2D)) for word, _, factors in lanes))
         else:
-            out.append(np.zeros(0, U))
+            out.append((np.zeros(0, U), np.zeros(0, U)))
     return out
 
 
-def class_of(own: np.ndarray) -> int:
-    """A signed 64-bit number for a set of shingles."""
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(own: tuple[np.ndarray, np.ndarray], seed: int = 0) -> tuple[int, int]:
+    """Two signed 64-bit numbers for a set of shingles, of 128 bits of each: its class, and what the class is checked by."""
+    digest = hashlib.blake2b(own[0].tobytes() + own[1].tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _each(batches, column: int, width: int):
@@ -97,16 +112,18 @@ def _each(batches, column: int, width: int):
             yield batch, first, shingles(data, offsets, width)
 
 
-def _classes(width: int):
+def _classes(width: int, seed: int):
     def run(batches):
         for batch, first, sets in _each(batches, 1, width):
+            told = [class_of(s, seed) if len(s[0]) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, len(sets)),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([len(s[0]) for s in sets], pa.int64()),
+                    pa.array([c for c, _ in told], pa.int64()),
+                    pa.array([c for _, c in told], pa.int64()),
                 ],
-                names=["id", "n_shingles", "class"],
+                names=["id", "n_shingles", "class", "check"],
             )
 
     return run
@@ -145,7 +162,7 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(parts)) >> U(32)
 
 
-def _postings(width: int, parts: int):
+def _postings(width: int, parts: int, seed: int = 0):
     """Texts -> blobs of postings by partition of the shingle's hash; a task sends each class once."""
 
     def flush(sets: list[np.ndarray], classes: list[int]):
@@ -171,11 +188,11 @@ def _postings(width: int, parts: int):
         sets, classes, held = [], [], 0
         for _, _, found in _each(batches, 0, width):
             for own in found:
-                if len(own) and (c := class_of(own)) not in sent:
+                if len(own[0]) and (c := class_of(own, seed)[0]) not in sent:
                     sent.add(c)
-                    sets.append(own)
+                    sets.append(own[0])
                     classes.append(c)
-                    held += len(own)
+                    held += len(own[0])
             if held >= BUFFER:
                 yield from _rows(list(flush(sets, classes)))
                 sets, classes, held = [], [], 0
@@ -529,13 +546,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its one shingle. A text without words (null, empty, blank) has the empty set,
     class null, and links with nothing, not even its like. A null id takes part;
     where a component has no other id, component_id is null. Repeated rows are
-    rows of one class. An empty table gives an empty table.
+    rows of one class. An empty table gives an empty table. Ids are whole
+    numbers, others are refused.
     """
     spark = docs.sparkSession
     parts = min(partitions(spark), (1 << 16) - 1)
-    own = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
-    base = cut(own.mapInArrow(_classes(width), "id long, n_shingles long, class long"), "classes")
-    blobs = own.select("text").mapInArrow(_postings(width, parts), "part int, blob binary").repartitionById(parts, "part")
+    own = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    for seed in range(SALTS):
+        base = cut(own.mapInArrow(_classes(width, seed), "id long, n_shingles long, class long, check long"), "classes")
+        if not base.groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low != high").limit(1).count():
+            break
+    else:
+        raise ValueError("two sets of shingles share a class under every salt")
+    blobs = own.select("text").mapInArrow(_postings(width, parts, seed), "part int, blob binary").repartitionById(parts, "part")
     shared = blobs.mapInArrow(_shared(parts), "part int, blob binary").repartitionById(parts, "part")
     active = cut(shared.mapInArrow(_active(percent, merge), ACTIVE), "active")
     found = links(active, percent, rounds)
