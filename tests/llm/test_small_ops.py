@@ -287,14 +287,86 @@ def test_secret_scan(spark, sf_dir, odd, nothing):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("ab .\n\té", max_size=80), min_size=1, max_size=6))
+@given(st.lists(st.one_of(st.text("ab .\n\té", max_size=80), st.integers(60, 140).map("same ".__mul__)), min_size=1, max_size=6))
 def test_fingerprints_tell_texts_apart(texts):
-    prints, leaves, first = merkle.fingerprints([t.encode() for t in texts])
+    prints = merkle.fingerprints([t.encode() for t in texts])
     for a, p in zip(texts, prints):
         for b, q in zip(texts, prints):
             assert (a == b) == (p == q) == (merkle.likeness(p, q) == 1.0 and not merkle.differing(p, q) and not merkle.differing(q, p))
-    alone = [merkle.fingerprints([t.encode()])[0][0] for t in texts]
-    assert alone == prints
+    alone = [merkle.fingerprints([t.encode()])[0] for t in texts]
+    assert alone == prints == [plain_print(t.encode()) for t in texts]
+
+
+M64 = (1 << 64) - 1
+
+
+def mix64(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_hash(raw, lane):
+    """What one substring's hash is, block by block."""
+    seed = 0xA0761D6478BD642F * (2 * lane + 1) & M64
+    total = 0
+    for k in range(max(1, -(-len(raw) // 8))):
+        block = int.from_bytes(raw[8 * k : 8 * k + 8], "little")
+        total += mix64(block ^ seed) * (mix64(k * 0xD6E8FEB86659FD93 + seed & M64) | 1)
+    return mix64(total + len(raw) * 0x8EBC6AF09C88C6E3 + seed & M64)
+
+
+def plain_parent(children):
+    return tuple(mix64(sum(mix64(c[lane] ^ mix64(k + 1)) for k, c in enumerate(children)) & M64) for lane in (0, 1))
+
+
+def plain_print(raw):
+    """One text's fingerprint: leaves, paragraphs, sections and root, one after the other."""
+    spans = [m.span() for m in re.finditer(b"[^\x20\x09-\x0d]+", raw)] or ([(0, len(raw))] if raw else [])
+    leaves, paragraphs, sections, body, begin, since = [], [], [], "", 0, 0
+    for k, (a, b) in enumerate(spans):
+        behind = spans[k + 1][0] if k + 1 < len(spans) else len(raw)
+        ends = k + 1 == len(spans) or b"\n" in raw[b:behind]
+        natural, since = ends or plain_hash(raw[a:b], 0) % merkle.LEAF_WORDS == 0, since + 1
+        if natural or since % merkle.LONGEST_LEAF == 0:
+            since = 0 if natural else since
+            leaves.append(tuple(plain_hash(raw[begin:behind], lane) for lane in (0, 1)))
+            body += f"{leaves[-1][0]:016x}"[: merkle.DIGITS]
+            begin = behind
+        if ends:
+            paragraphs.append(plain_parent(leaves))
+            leaves, body = [], body + ","
+            if k + 1 == len(spans) or paragraphs[-1][0] % merkle.SECTION_PARAGRAPHS == 0:
+                sections.append(plain_parent(paragraphs))
+                paragraphs, body = [], body + "/"
+    return hashlib.blake2b(b"".join(x.to_bytes(8, "little") for s in sections for x in s), digest_size=16).hexdigest() + ":" + body
+
+
+def test_texts_that_polynomials_confuse():
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    a, b = a[:1024], a[1024:2048]
+    assert a != b and len({plain_hash(t.encode(), 0) for t in (a, b)}) == 2
+    prints = merkle.fingerprints([a.encode(), b.encode(), f"x {a} y".encode(), f"x {b} y".encode()])
+    assert len({p[:32] for p in prints}) == 4 and merkle.likeness(prints[0], prints[1]) == 0.0
+
+
+def test_an_inserted_paragraph_is_located():
+    rng = random.Random(4)
+    lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(40)]
+    whole = merkle.fingerprints(["\n".join(lines).encode()])[0]
+    for at in (0, 7, 39):
+        more = merkle.fingerprints(["\n".join([*lines[:at], "quite new words stand in this line of text", *lines[at:]]).encode()])[0]
+        n = sum(len(p) for s in merkle._tree(more) for p in s) - sum(len(p) for s in merkle._tree(whole) for p in s)
+        found = merkle.differing(whole, more)
+        assert 0 < len(found) <= n + 8 and sum(f[0] == "b" for f in found) - sum(f[0] == "a" for f in found) == n
+        assert sorted((("ab"["ba".index(f[0])]), *f[1:]) for f in found) == sorted(merkle.differing(more, whole))
+    x, y = (merkle.trees([t.encode()]) for t in ("\n".join(lines), "\n".join([*lines[:20], lines[20] + " more", *lines[21:]])))
+    section, paragraph, leaf = x.first_difference(0, y, 0)
+    tree = merkle._tree(x.prints[0])
+    before = sum(len(s) for s in tree[:section]) + paragraph
+    assert before == 20 and leaf == len(tree[section][paragraph]) - 1 and x.first_difference(0, x, 0) is None
 
 
 def test_neighbours(spark, sf_dir, odd, nothing):
@@ -307,13 +379,14 @@ def test_neighbours(spark, sf_dir, odd, nothing):
         for (known, doc, text), (_, _, after) in zip(source, source[1:] + source[:1]):
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
-            (p, q, n), _, _ = merkle.fingerprints([text.encode(), edited.encode(), after.encode()])
+            p, q, n = merkle.fingerprints([text.encode(), edited.encode(), after.encode()])
             key = (doc if known else None, len(text), hashlib.sha256(edited.encode()).hexdigest(), p, q)
             expect[key] += 1
             near[key] = (merkle.likeness(p, q), merkle.likeness(p, n))
         assert got == expect
         for r in rows:
             k = (r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint)
+            assert (r.edited_at is None) == (r.fingerprint[:32] == r.edited_fingerprint[:32])
             if got[k] == 1:
                 assert (r.near_edited, r.near_next) == pytest.approx(near[k])
     long = [r for r in rows if r.n_chars > 400]

@@ -1,19 +1,20 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and leaves.
 
 A text is cut into leaves of a few words, at words whose hash says so (about
-one in four), at the ends of paragraphs (lines), and after 64 words at the
-latest. A leaf covers its words and the white space behind them, so the leaves
+one in four), at the ends of paragraphs (lines), and 64 words behind the last
+of these at the latest. A leaf covers its words and the white space behind them, so the leaves
 cover every byte. Leaves form paragraphs, paragraphs form sections (a section
 ends at a paragraph whose digest says so, about one in four), sections form the
 document. The digest of a node is made of its children's digests in order.
 
 A fingerprint is ``ROOT:BODY``: the root in hexadecimal and 6 hexadecimal digits
 of each leaf, with ``,`` behind each paragraph and ``/`` behind each section.
-Equal texts have equal fingerprints, and equal roots mean equal texts (up to
-collisions of 64-bit leaf and 128-bit root digests). As leaves are cut by
-content, an edit changes the leaves it touches and leaves the others alone:
-:func:`likeness` is the share of leaves that two fingerprints have in common,
-:func:`differing` walks down the branches that differ.
+Equal texts have equal fingerprints, and equal roots mean equal texts: digests
+are of 128 bits from the leaves (two independent hashes of their bytes) to the
+root. As leaves are cut by content, an edit changes the leaves it touches and
+leaves the others alone: :func:`likeness` is the share of leaves that two
+fingerprints have in common, :func:`differing` aligns the branches and walks
+down those that differ, :meth:`Trees.first_difference` finds the first of them.
 
 The neighbours of :func:`neighbours` (the next document in descending order of
 ids) meet in one shuffle of the texts into ranges of ids. The ends of the ranges
@@ -24,14 +25,16 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmap.llm._bytes import CHUNK, Sums, U, mix, words
-from weftmap.llm._session import partitions, text_or_empty
+from weftmap.llm._bytes import CHUNK, Blocks, U, mix, words
+from weftmap.llm._session import integer_id, partitions, text_or_empty
 
 LEAF_WORDS = 4
 SECTION_PARAGRAPHS = 4
@@ -40,15 +43,52 @@ DIGITS = 6
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
-def _parents(children: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Digests of runs of children; ``last`` holds the index of the last child of each run."""
+def _parents(children: list[np.ndarray], last: np.ndarray) -> list[np.ndarray]:
+    """Digests (two lanes) of runs of children; ``last`` holds the index of the last child of each run."""
     first = np.concatenate(([0], last[:-1] + 1))
-    place = np.arange(len(children), dtype=U) - np.repeat(first.astype(U), np.diff(np.concatenate((first, [len(children)]))))
-    return mix(np.add.reduceat(mix(children ^ mix(place + U(1))), first))
-
-
-def fingerprints(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Fingerprints of texts in UTF-8; their short leaf digests, and where each text's begin (n + 1 numbers)."""
+    place = mix(np.arange(len(children[0]), dtype=U) - np.repeat(first.astype(U), np.diff(np.concatenate((first, [len(children[0])])))) + U(1))
+    return [mix(np.add.reduceat(mix(lane ^ place), first)) for lane in children]
+
+
+@dataclass
+class Trees:
+    """The trees of some texts, level by level: digests (two lanes), and where the children of each node begin (n + 1 numbers)."""
+
+    prints: list[str]
+    leaves: list[np.ndarray]
+    paragraphs: list[np.ndarray]
+    sections: list[np.ndarray]
+    of_paragraph: np.ndarray  # leaves
+    of_section: np.ndarray  # paragraphs
+    of_text: np.ndarray  # sections
+    leaf_first: np.ndarray  # leaves of texts
+
+    @property
+    def short(self) -> np.ndarray:
+        """The part of each leaf's digest that is written."""
+        return (self.leaves[0] >> U(64 - 4 * DIGITS)).astype(np.uint32)
+
+    def first_difference(self, i: int, other: Trees, j: int) -> tuple[int, int, int] | None:
+        """(section, paragraph in it, leaf in that) where text i and the other's text j begin to differ, found from the roots down; None if they are equal."""
+        if self.prints[i][:32] == other.prints[j][:32]:
+            return None
+        path, a, b = [], i, j
+        for level, mine, theirs in (("sections", "of_text", "of_text"), ("paragraphs", "of_section", "of_section"), ("leaves", "of_paragraph", "of_paragraph")):
+            first_a, first_b = getattr(self, mine)[a : a + 2], getattr(other, theirs)[b : b + 2]
+            n = int(min(first_a[1] - first_a[0], first_b[1] - first_b[0]))
+            k = n
+            for x, y in zip(getattr(self, level), getattr(other, level), strict=True):
+                apart = np.flatnonzero(x[first_a[0] : first_a[0] + n] != y[first_b[0] : first_b[0] + n])
+                k = min(k, int(apart[0])) if len(apart) else k
+            path.append(k)
+            if k == n:  # one of them ends here
+                return (*path, *[0] * (3 - len(path)))
+            a, b = int(first_a[0]) + k, int(first_b[0]) + k
+        return tuple(path)
+
+
+def trees(texts: list[bytes]) -> Trees:
+    """The trees of texts in UTF-8."""
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -62,52 +102,61 @@ def fingerprints(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]
     n = len(starts)
     if not n:
         root = hashlib.blake2b(b"", digest_size=16).hexdigest()
-        return [f"{root}:"] * len(texts), np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-    sums = Sums(data)
-    cut = (mix(sums.of(starts, ends)) & U(LEAF_WORDS - 1)) == 0
+        none, zero = [np.zeros(0, U)] * 2, np.zeros(1, np.int64)
+        return Trees([f"{root}:"] * len(texts), none, none, none, zero, zero, *[np.zeros(len(texts) + 1, np.int64)] * 2)
+    blocks = Blocks(data)
+    cut = (blocks.of(starts, ends) & U(LEAF_WORDS - 1)) == 0
     owner = np.searchsorted(first, np.arange(n), "right") - 1
-    cut |= (np.arange(n) - first[owner]) % LONGEST_LEAF == LONGEST_LEAF - 1
     closes = np.zeros(n, bool)
     closes[first[1:][first[1:] > first[:-1]] - 1] = True
     lines = np.concatenate(([0], np.cumsum(data == 10)))
     behind = np.append(starts[1:], len(data))
     behind[closes] = offsets[owner[closes] + 1]
     paragraph = closes | (lines[behind] != lines[ends])
-    last = np.flatnonzero(cut | paragraph)  # the last word of each leaf
+    cut |= paragraph
+    # words since the last cut, so that a leaf that is cut for its length does not depend on what is far in front of it
+    at = np.arange(n)
+    since = at - np.maximum.accumulate(np.where(np.concatenate(([True], cut[:-1])), at, 0))
+    last = np.flatnonzero(cut | (since % LONGEST_LEAF == LONGEST_LEAF - 1))  # the last word of each leaf
     leaf_end = behind[last]
     leaf_start = np.concatenate(([0], leaf_end[:-1]))
     leaf_owner = owner[last]
     fresh = np.concatenate(([True], leaf_owner[1:] != leaf_owner[:-1]))
     leaf_start[fresh] = offsets[leaf_owner[fresh]]
-    leaves = mix(sums.of(leaf_start, leaf_end))
+    leaves = [blocks.of(leaf_start, leaf_end, lane) for lane in (0, 1)]
     p_last = np.flatnonzero(paragraph[last])
     paragraphs = _parents(leaves, p_last)
     p_closes = closes[last[p_last]]
-    s_last = np.flatnonzero(p_closes | ((paragraphs & U(SECTION_PARAGRAPHS - 1)) == 0))
+    s_last = np.flatnonzero(p_closes | ((paragraphs[0] & U(SECTION_PARAGRAPHS - 1)) == 0))
     sections = _parents(paragraphs, s_last)
     # the written form: digits of each leaf, then marks
-    width = np.full(len(leaves), DIGITS)
-    ends_p = np.zeros(len(leaves), bool)
+    width = np.full(len(leaves[0]), DIGITS)
+    ends_p = np.zeros(len(leaves[0]), bool)
     ends_p[p_last] = True
-    ends_s = np.zeros(len(leaves), bool)
+    ends_s = np.zeros(len(leaves[0]), bool)
     ends_s[p_last[s_last]] = True
     width += ends_p
     width += ends_s
     at = np.concatenate(([0], np.cumsum(width)))
     body = np.empty(at[-1], np.uint8)
     for k in range(DIGITS):
-        body[at[:-1] + k] = _HEX[((leaves >> U(60 - 4 * k)) & U(15)).astype(np.intp)]
+        body[at[:-1] + k] = _HEX[((leaves[0] >> U(60 - 4 * k)) & U(15)).astype(np.intp)]
     body[at[:-1][ends_p] + DIGITS] = ord(",")
     body[at[:-1][ends_s] + DIGITS + 1] = ord("/")
     leaf_first = np.searchsorted(leaf_owner, np.arange(len(texts) + 1))
     section_first = np.searchsorted(leaf_owner[p_last[s_last]], np.arange(len(texts) + 1))
     written = body.tobytes().decode()
-    whole = sections.tobytes()
+    whole = np.column_stack(sections).tobytes()
     out = []
     for i in range(len(texts)):
-        root = hashlib.blake2b(whole[8 * section_first[i] : 8 * section_first[i + 1]], digest_size=16).hexdigest()
+        root = hashlib.blake2b(whole[16 * section_first[i] : 16 * section_first[i + 1]], digest_size=16).hexdigest()
         out.append(f"{root}:{written[at[leaf_first[i]] : at[leaf_first[i + 1]]]}")
-    return out, (leaves >> U(64 - 4 * DIGITS)).astype(np.uint32), leaf_first
+    begin = lambda last: np.concatenate(([0], last + 1))
+    return Trees(out, leaves, paragraphs, sections, begin(p_last), begin(s_last), section_first, leaf_first)
+
+
+def fingerprints(texts: list[bytes]) -> list[str]:
+    return trees(texts).prints
 
 
 def _leaves(fingerprint: str) -> list[str]:
@@ -123,29 +172,34 @@ def likeness(a: str, b: str) -> float:
     return 2.0 * sum((x & y).values()) / max(1, sum(x.values()) + sum(y.values()))
 
 
-def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph in it, leaf in that) of a's leaves that differ from those of b at the same branch.
+def differing(a: str, b: str) -> list[tuple[str, int, int, int]]:
+    """(side, section, paragraph in it, leaf in that) of the leaves that only ``a`` has (side ``a``) and only ``b`` has (``b``).
 
-    Equal sections and paragraphs are passed over whole.
+    Children are aligned before the walk goes down: equal sections are passed
+    over wherever an insertion has moved them to, then equal paragraphs, then
+    equal leaves. So what is put in or taken out is told once, and nothing behind it.
     """
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
-    x, y = _tree(a), _tree(b)
     found = []
-    for i, section in enumerate(x):
-        other = y[i] if i < len(y) else []
-        if section == other:
-            continue
-        for j, paragraph in enumerate(section):
-            theirs = other[j] if j < len(other) else []
-            if paragraph != theirs:
-                found += [(i, j, k) for k, leaf in enumerate(paragraph) if k >= len(theirs) or leaf != theirs[k]]
+
+    def walk(x: list[tuple[tuple, object]], y: list[tuple[tuple, object]]) -> None:
+        nodes = [n for _, n in x], [n for _, n in y]
+        for tag, i1, i2, j1, j2 in SequenceMatcher(None, *nodes, autojunk=False).get_opcodes():
+            if tag == "equal":
+                continue
+            if x[i1:i2] and len(x[i1][0]) == 3 or y[j1:j2] and len(y[j1][0]) == 3:
+                found.extend([("a", *path) for path, _ in x[i1:i2]] + [("b", *path) for path, _ in y[j1:j2]])
+            else:  # an edit may also move a section's end: children are aligned over all branches that differ here
+                walk(*([((*path, k), child) for path, node in side for k, child in enumerate(node)] for side in (x[i1:i2], y[j1:j2])))
+
+    walk(*([((k,), section) for k, section in enumerate(_tree(print_))] for print_ in (a, b)))
     return found
 
 
-def _tree(fingerprint: str) -> list[list[list[str]]]:
+def _tree(fingerprint: str) -> tuple[tuple[tuple[str, ...], ...], ...]:
     sections = fingerprint.partition(":")[2].split("/")[:-1]
-    return [[[p[i : i + DIGITS] for i in range(0, len(p), DIGITS)] for p in s.split(",")[:-1]] for s in sections]
+    return tuple(tuple(tuple(p[i : i + DIGITS] for i in range(0, len(p), DIGITS)) for p in s.split(",")[:-1]) for s in sections)
 
 
 def _common(texts: int, owner_a: np.ndarray, a: np.ndarray, owner_b: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,39 +210,39 @@ def _common(texts: int, owner_a: np.ndarray, a: np.ndarray, owner_b: np.ndarray,
     return np.bincount(both >> 32, np.minimum(n[i], m[j]), texts)
 
 
-def _likeness(prints_a, leaves_a, first_a, prints_b, leaves_b, first_b) -> np.ndarray:
-    texts = len(prints_a)
-    n, m = np.diff(first_a), np.diff(first_b)
-    common = _common(texts, np.repeat(np.arange(texts), n), leaves_a, np.repeat(np.arange(texts), m), leaves_b)
-    same = np.fromiter((p[:32] == q[:32] for p, q in zip(prints_a, prints_b, strict=True)), bool, texts)
+def _likeness(x: Trees, y: Trees, skip: int = 0) -> np.ndarray:
+    """Of each text of x (but the last, where y has fewer) and the text of y at its place, or ``skip`` behind it."""
+    texts = len(y.prints) - skip
+    n, m = np.diff(x.leaf_first[: texts + 1]), np.diff(y.leaf_first[skip:])
+    common = _common(texts, np.repeat(np.arange(texts), n), x.short[: x.leaf_first[texts]], np.repeat(np.arange(texts), m), y.short[y.leaf_first[skip] :])
+    same = np.fromiter((p[:32] == q[:32] for p, q in zip(x.prints, y.prints[skip:])), bool, texts)
     return np.where(same, 1.0, 2.0 * common / np.maximum(1, n + m))
 
 
-SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at string"
 
 
 def _pairs(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
     """rows: documents and, last, the one after them; what the query wants of all but that."""
-    texts = [t.encode() for _, t in rows]
-    prints, leaves, first = fingerprints(texts)
+    own = trees([t.encode() for _, t in rows])
     edited, n_chars = [], []
     for (_, text), (_, following) in zip(rows, rows[1:]):
         half = len(text) // 2
         edited.append((text[: len(text) - half] + following[:half]).encode())
         n_chars.append(len(text))
-    e_prints, e_leaves, e_first = fingerprints(edited)
+    changed = trees(edited)
     m = len(edited)
-    near = _likeness(prints[:m], leaves[: first[m]], first[: m + 1], e_prints, e_leaves, e_first)
-    after = _likeness(prints[:m], leaves[: first[m]], first[: m + 1], prints[1:], leaves[first[1] :], first[1:] - first[1])
+    paths = [own.first_difference(i, changed, i) for i in range(m)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([d for d, _ in rows[:m]], pa.int64()),
             pa.array(n_chars, pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in edited]),
-            pa.array(prints[:m]),
-            pa.array(e_prints),
-            pa.array(near),
-            pa.array(after),
+            pa.array(own.prints[:m]),
+            pa.array(changed.prints),
+            pa.array(_likeness(own, changed)),
+            pa.array(_likeness(own, own, 1)),
+            pa.array([None if p is None else ".".join(map(str, p)) for p in paths], pa.string()),
         ],
         names=[x.split()[0] for x in SCHEMA.split(", ")],
     )
@@ -216,13 +270,15 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     as many (or all) of the next document in descending order of ids; after the
     last comes the first. Rows with equal ids are ordered by text, a null id is
     the smallest, a null text is empty. A single document is its own successor.
-    An empty table gives an empty table.
+    ``edited_at`` is the branch (section.paragraph.leaf) where the two trees
+    begin to differ, null where they are equal. An empty table gives an empty
+    table. Ids are whole numbers, others are refused.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
     n = partitions(spark)
-    own = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    own = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
     shares = [i / n for i in range(1, n)] or [0.5]
     bounds = own.select(F.percentile_approx("id", shares, max(10_000, 10 * n)).alias("b")).first()["b"] or []
     splits = [float("-inf"), *sorted({float(b) for b in bounds}), float("inf")]
