@@ -24,3 +24,14 @@ def test_without_the_llm_folders(tmp_path):
         told = subprocess.run([sys.executable, "-c", ASK], cwd=at, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, check=False)
         assert told.returncode == 0, told.stderr
         assert told.stdout.strip() == "0"
+
+
+def test_tables_that_are_cut_are_removed(spark):
+    import glob
+
+    from weftmap.session import cut, scratch, shared_dir
+
+    with scratch(spark):
+        df = cut(spark.range(5), "thrown-away")
+        assert df.count() == 5 and glob.glob(f"{shared_dir(spark)}/weftmap/thrown-away-*")
+    assert not glob.glob(f"{shared_dir(spark)}/weftmap/thrown-away-*")

@@ -190,6 +190,85 @@ def test_limit_reads_the_first_rows(spark, tmp_path):
     assert {v.label: v.count for v in graph.vertices} == {"Total": 2, "Pair": 0}
 
 
+PROJECTS = {
+    "shapes.shex": """
+PREFIX v: <https://hub.example/voc#>
+PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>
+v:Hub { v:label xsd:string ; v:about xsd:string * ; v:runs @v:Project * ; v:lead @v:Project ? }
+v:Project { v:title xsd:string ; v:page . * }
+""",
+    "hubs.ttl": """
+@prefix v: <https://hub.example/voc#> .
+<https://hub.example/h/1> a v:Hub ; v:label "one" ; v:about "x", "y" ; v:runs <https://hub.example/p/1>, <https://hub.example/p/2>, <https://hub.example/p/9> ; v:lead <https://hub.example/p/2> .
+<https://hub.example/h/2> a v:Hub ; v:label "two" ; v:runs <https://hub.example/p/2> .
+<https://hub.example/p/1> a v:Project ; v:title "P1" .
+<https://hub.example/p/2> a v:Project ; v:title "P2" .
+""",
+    "program": """
+type { Hub, Project } := io.shex("shapes.shex")
+{ Hub, Project } := io.rdf("hubs.ttl")
+
+Hubs : Hub from Hub
+    @subject = Hub.subject
+    label    = Hub.label
+    runs     = Hub.runs
+    lead     = Hub.lead
+
+Projects : Project from Project
+    @subject = Project.subject
+    title    = Project.title
+""",
+}
+
+
+def test_a_list_is_an_edge_for_each_of_its_values(spark, tmp_path):
+    done = run(spark, PROJECTS["program"], **lay_out(tmp_path, PROJECTS))
+    graph = done["graph"]
+    names = {r.dense_id: r.subject.rpartition("example/")[2] for v in graph.vertices for r in v.rows.collect()}
+    found = {e.name: sorted((names[r.src], names[r.dst]) for r in e.rows.collect()) for e in graph.edges}
+    assert found == {"Hub_runs_Project": [("h/1", "p/1"), ("h/1", "p/2"), ("h/2", "p/2")], "Hub_lead_Project": [("h/1", "p/2")]}
+    assert done["dropped"] == [{"edge": "Hub_runs_Project", "rows": 1}]
+    assert [p.name for p in graph.vertex("Hub").properties] == ["label"]
+
+
+def test_only_columns_that_are_read_are_built_from_triples(spark, tmp_path):
+    program = load(spark, PROJECTS["program"], **lay_out(tmp_path, PROJECTS))
+    assert {c for m in program.mappings for _, c, _ in program.relations[m.relation].slots()} == {"subject", "label", "runs", "lead", "title"}
+
+
+EXACT = """
+@iri("https://m.example/voc#M")
+type M
+    @iri("https://m.example/voc#size") size: Float
+    @iri("https://m.example/voc#page") page: Uri
+    @iri("https://m.example/voc#more") more: Seq<Uri>
+Row := io.parquet("m.parquet")
+Ms : M from Row
+    @subject = "https://m.example/{Row.id}"
+    size     = Row.size
+    page     = Row.page
+    more     = Row.page
+"""
+
+
+def test_values_that_have_no_place_are_refused(spark, tmp_path):
+    def go(size, kind, page="https://m.example/"):
+        df = spark.createDataFrame([(1, size, page)], f"id long, size {kind}, page string")
+        return run(spark, EXACT, base=str(tmp_path), frames={"m.parquet": df})["graph"].vertex("M").rows.first().size
+
+    from decimal import Decimal
+
+    assert (go(1 << 53, "long"), go(Decimal("0.25"), "decimal(10,2)"), go(None, "long")) == (2.0**53, 0.25, None)
+    for size, kind in (((1 << 53) + 1, "long"), ((1 << 63) - 1, "long"), (Decimal("12345678901234567.89"), "decimal(38,2)")):
+        with pytest.raises(Refusal) as e:
+            go(size, kind)
+        assert e.value.code == "write/unrepresentable" and str(size) in e.value.message
+    for page in ("no iri", "relative/x"):
+        with pytest.raises(Refusal) as e:
+            go(1, "long", page)
+        assert e.value.code == "write/invalid-iri"
+
+
 def test_ntriples_are_written(spark, tmp_path):
     reads = lay_out(tmp_path, PROGRAMS["harbour"])
     into = str(tmp_path / "nt")
@@ -213,8 +292,10 @@ Ships : Ship from Row
 
 
 def test_chunks(spark, graphs, tmp_path):
-    graph = graphs["harbour"][0]["graph"]
-    graphar.write(spark, graph, str(tmp_path), chunk_size=2)
+    _, _, reads = graphs["harbour"]
+    graph = run(spark, PROGRAMS["harbour"]["program"], str(tmp_path), chunk_size=2, **reads)["graph"]
+    with pytest.raises(Refusal):
+        run(spark, PROGRAMS["harbour"]["program"], str(tmp_path), chunk_size=0, **reads)
     duck = duckdb.connect()
     place = f"{tmp_path}/vertex/Ship/{graphar.group_name(graph.vertex('Ship'))}"
     got = [[r[0] for r in duck.execute(f"SELECT * FROM read_parquet('{place}/chunk{i}')").fetchall()] for i in (0, 1)]

@@ -165,13 +165,37 @@ def test_csv_of_several_files_and_none(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"p{i}.csv").write_text(f"a;b\n{i};x\n")
     assert tables.read_csv(spark, str(tmp_path / "p*.csv"), ";").count() == 3
-    (tmp_path / "p9.csv").write_text("b;a\n1;2\n")
-    with pytest.raises(Exception, match="header"):
-        tables.read_csv(spark, str(tmp_path / "p*.csv"), ";").count()
+    # another order of columns, a column more, one less: merged by name, with types that hold for all
+    (tmp_path / "p7.csv").write_text("b;a\ny;2.5\n")
+    (tmp_path / "p 8.csv").write_text("b;more\nz;007\n")
+    (tmp_path / "p9.csv").write_text("")
+    df = tables.read_csv(spark, str(tmp_path / "p*.csv"), ";")
+    assert df.dtypes == [("b", "string"), ("more", "string"), ("a", "double")]
+    assert sorted(df.collect(), key=repr) == [("x", None, 0.0), ("x", None, 1.0), ("x", None, 2.0), ("y", None, 2.5), ("z", "007", None)]
+    assert tables.read_csv(spark, str(tmp_path / "p*.csv"), ";", limit=3).collect() == [("z", "007", None), ("x", None, 0.0), ("x", None, 1.0)]
     with pytest.raises(Refusal, match="source/not-found"):
         tables.read_csv(spark, str(tmp_path / "gone.csv"))
 
 
+def test_the_first_rows_are_those_of_the_first_files(spark, tmp_path):
+    """Spark reads large files first; a limit takes rows in the order of the files all the same."""
+    for name, first, n in (("a", 0, 1), ("b", 1, 500), ("c", 501, 7)):
+        rows = range(first, first + n)
+        (tmp_path / f"{name}.csv").write_text("n\n" + "".join(f"{i}\n" for i in rows))
+        (tmp_path / f"{name}.json").write_text("".join(f'{{"n": {i}}}\n' for i in rows))
+        spark.createDataFrame([(i,) for i in rows], "n long").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for n in (2, 300, 504):
+        for df in (tables.read_json(spark, str(tmp_path / "*.json")), tables.read_parquet(spark, str(tmp_path / "*.parquet"))):
+            assert [r.n for r in tables.first_rows(df, n).collect()] == list(range(n))
+        assert [r.n for r in tables.read_csv(spark, str(tmp_path / "*.csv"), limit=n).collect()] == list(range(n))
+
+
+def test_schemas_of_parquet_files_are_merged(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "a long, b string").write.parquet(str(tmp_path / "t" / "p1"))
+    spark.createDataFrame([(2, 0.5)], "a long, c double").write.parquet(str(tmp_path / "t" / "p2"))
+    assert sorted(tables.read_parquet(spark, str(tmp_path / "t" / "*")).select("a", "b", "c").collect(), key=repr) == [(1, "x", None), (2, None, 0.5)]
+
+
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_csv_fields_with_line_breaks(spark, tmp_path, end):
     import csv
@@ -185,7 +209,7 @@ def test_csv_fields_with_line_breaks(spark, tmp_path, end):
         df = tables.read_csv(spark, str(tmp_path / f"{name}.csv"))
         assert df.columns == some[0] and [[str(v) for v in r] for r in df.collect()] == some[1:]
         assert dict(df.dtypes)["id"] == "bigint"
-    assert tables._goes_over_lines(spark, str(tmp_path / "a.csv"), ",") and not tables._goes_over_lines(spark, str(tmp_path / "c.csv"), ",")
+    assert [tables._survey(spark, str(tmp_path / f"{name}.csv"), ",")[1] for name in "ac"] == [True, False]
     (tmp_path / "d.csv").write_text(f'a|b{end}x"y|"p{end}q"{end}', newline="")
     assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "d.csv"), "|").collect()] == [('x"y', f"p{end}q")]
     (tmp_path / "e1.csv").write_text('a,b\n1,"p\nq"\n', newline="")

@@ -12,10 +12,12 @@ holds more than its range, and the driver holds a number per type.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftmap import types
 from weftmap.errors import Refusal
@@ -108,9 +110,29 @@ class Graph:
         return next(e for e in self.edges if e.name == name)
 
 
-def as_declared(column: Column, ty) -> Column:
-    """A value in its declared type; numbers widen, identities and texts are text."""
-    return column.cast(types.spark_type(ty))
+INEXACT = "write/unrepresentable"
+
+
+def as_declared(column: Column, ty, held: T.DataType | None = None, name: str = "") -> Column:
+    """A value in its declared type; numbers widen, identities and texts are text.
+
+    A whole or decimal number becomes a double only where the double is that
+    number; any other is refused when it is met.
+    """
+    cast = column.cast(types.spark_type(ty))
+    if ty != types.FLOAT or not isinstance(held, (T.LongType, T.DecimalType)):
+        return cast
+    exact = column.isNull() | F.coalesce(cast.try_cast(held.simpleString()) == column, F.lit(False))
+    if isinstance(held, T.LongType):  # 2^63 is cast to the greatest long
+        exact = exact & (column.isNull() | (column != F.lit((1 << 63) - 1)))
+    told = F.concat(F.lit(f"{INEXACT}: `{name}` holds "), column.cast("string"), F.lit(", which no double is"))
+    return F.when(exact, cast).otherwise(F.raise_error(told).cast("double"))
+
+
+def refused(e: Exception) -> Refusal | None:
+    """The refusal that a running query has raised by :func:`as_declared`, if it is one."""
+    told = re.search(rf"{INEXACT}: (`[^\n]*?, which no double is)", str(e))
+    return Refusal(INEXACT, told[1]) if told else None
 
 
 def merged(parts: list[VertexPart]) -> tuple[DataFrame, list[Property]]:
@@ -130,7 +152,8 @@ def merged(parts: list[VertexPart]) -> tuple[DataFrame, list[Property]]:
                 continue
             own, column = part.properties[p.name]
             if p.single:
-                columns.append(as_declared(column, p.type).alias(f"p{i}"))
+                exactly = part.df.select(column).schema[0].dataType if p.type == types.FLOAT else None
+                columns.append(as_declared(column, p.type, exactly, p.name).alias(f"p{i}"))
             elif types.is_sequence(own.type):
                 columns.append(column.cast("array<" + kind.simpleString() + ">").alias(f"p{i}"))
             else:
@@ -182,19 +205,28 @@ ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|\\^`]*$"
 def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexTable:
     """Merge, check and number the vertices of one type."""
     rows, properties = merged(parts)
-    rows = cut(rows, "rows") if any(not p.single for p in properties) else rows
-    everything = number(collapse(rows, properties), "subject", first)  # written once, then checked and read from there
+    try:
+        rows = cut(rows, "rows") if any(not p.single for p in properties) else rows
+        everything = number(collapse(rows, properties), "subject", first)  # written once, then checked and read from there
+    except Exception as e:
+        if (refusal := refused(e)) is not None:
+            raise refusal from e
+        raise
+    identities = [F.col(f"p{i}") for i, p in enumerate(properties) if p.single and p.type == types.URI]
     bad = F.col("subject").isNull() | ~F.col("subject").rlike(ABSOLUTE)
     told = everything.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(bad).alias("bad"),
         F.min(F.when(bad, F.coalesce("subject", F.lit("null")))).alias("which"),
         F.min(F.when(conflict(everything, properties), F.col("subject"))).alias("two"),
+        F.min(F.coalesce(*[F.when(~c.rlike(ABSOLUTE), c) for c in identities], F.lit(None).cast("string"))).alias("no_iri"),
     ).first()
     if told.bad:
         raise Refusal("write/invalid-subject", f"`{told.which}` is not an absolute IRI, and it is the subject of a {shape.label}")
     if told.two is not None:
         raise Refusal("write/too-many-values", f"{told.two} has two values for a property of {shape.label} that takes one")
+    if told.no_iri is not None:
+        raise Refusal("write/invalid-iri", f"a property of {shape.label} holds `{told.no_iri}`, which is not an absolute IRI")
     if first + told.n >= MAX_VERTICES:
         raise Refusal("run/too-large", "a graph has less than 2^32 vertices")
     numbered = everything.select("dense_id", "subject", *[F.col(f"p{i}").alias(p.name) for i, p in enumerate(properties) if p.single])
@@ -211,6 +243,8 @@ def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexT
             check_tags(multi[p.name], p)
         else:
             multi[p.name] = owned.select(F.col("dense_id").alias("src"), "value").distinct()
+            if p.item == types.URI and (wrong := multi[p.name].filter(~F.col("value").rlike(ABSOLUTE)).agg(F.min("value").alias("v")).first().v) is not None:
+                raise Refusal("write/invalid-iri", f"`{p.name}` of {shape.label} holds `{wrong}`, which is not an absolute IRI")
     return VertexTable(shape, properties, numbered, multi, first, told.n, tuple(sorted({s for part in parts for s in part.sources})))
 
 
@@ -242,8 +276,8 @@ def resolve(parts: list[EdgePart], sources: DataFrame, targets: DataFrame) -> tu
     """(candidates, resolved): pairs of identities, and those of them that find both vertices, as (src, dst)."""
     pairs = None
     for part in parts:
-        target = F.explode(part.target_iri) if part.many else part.target_iri
-        own = part.df.select(part.source_iri.cast("string").alias("s"), target.cast("string").alias("t"))
+        target = F.explode(part.target_iri.cast("array<string>")) if part.many else part.target_iri.cast("string")
+        own = part.df.select(part.source_iri.cast("string").alias("s"), target.alias("t"))
         pairs = own if pairs is None else pairs.union(own)
     pairs = pairs.filter(F.col("t").isNotNull())
     a = sources.select(F.col("subject").alias("s"), F.col("dense_id").alias("src"))

@@ -44,7 +44,7 @@ class Reader:
         else:
             path = resolve(op.uri, self._base, self._connections)
             if op.format == "csv":
-                df = tables.read_csv(self._spark, path, dict(op.options).get("delimiter"))
+                return Relation.source(tables.read_csv(self._spark, path, dict(op.options).get("delimiter"), self._limit), op.binding, op.uri)
             elif op.format == "json":
                 df = tables.read_json(self._spark, path)
             elif op.format == "parquet":
@@ -56,7 +56,9 @@ class Reader:
         return Relation.source(df, op.binding, op.uri)
 
     def _rdf(self, path: str, shape, op: Source) -> Relation:
-        triples = self._triples.setdefault(path, rdf.read_triples(self._spark, path))
+        if path not in self._triples:
+            self._triples[path] = rdf.read_triples(self._spark, path)
+        triples = self._triples[path]
         df = rdf.pivot(triples, shape)
         if self._limit is not None:
             df = tables.first_rows(df, self._limit)
@@ -104,7 +106,8 @@ def build(program: Program) -> G.Graph:
             for c, t, identity in m.edges:
                 if (m.shape.iri, c.name, t) == key:
                     scope = program.relations[m.relation]
-                    parts.append(G.EdgePart(scope.df, X.render(m.identity, scope), X.render(identity, scope)))
+                    many = types.is_sequence(X.type_of(identity, scope))
+                    parts.append(G.EdgePart(scope.df, X.render(m.identity, scope), X.render(identity, scope), many))
                     constraint = c
         return G.build_edges(label, constraint.predicate, constraint.single, parts, by_class[source], by_class[target])
 
@@ -126,13 +129,21 @@ def check(spark: SparkSession, text: str, **reads) -> list[Refusal]:
     return diagnose(text, Reader(spark, **reads).host())
 
 
-def run(spark: SparkSession, text: str, into: str | None = None, form: str = "graph", **reads) -> dict:
-    """Compile, build, and write where asked (``form``: graph or ntriples): {location, dropped, graph}."""
+def run(spark: SparkSession, text: str, into: str | None = None, form: str = "graph", chunk_size: int | None = None, **reads) -> dict:
+    """Compile, build, and write where asked (``form``: graph or ntriples): {location, dropped, graph}.
+
+    ``chunk_size`` is the number of vertices in a file of the graph; without one
+    a table is cut into chunks of ``graphar.CHUNK`` vertices.
+    """
     from weftmap.sinks import graphar, ntriples
 
+    if chunk_size is not None and chunk_size < 1:
+        raise Refusal("run/invalid-option", "a chunk holds one vertex at least")
     program = load(spark, text, **reads)
     graph = build(program)
-    if into is not None:
-        (graphar.write if form == "graph" else ntriples.write)(spark, graph, into)
+    if into is not None and form == "graph":
+        graphar.write(spark, graph, into, chunk_size)
+    elif into is not None:
+        ntriples.write(spark, graph, into)
     dropped = [{"edge": e.name, "rows": e.dropped} for e in graph.edges if e.dropped]
     return {"location": into, "dropped": dropped, "graph": graph}

@@ -17,7 +17,7 @@ from weftmap.operators.relation import Relation
 from weftmap.plans import profile as P
 from weftmap.plans.compile import compile_program, expression
 from weftmap.plans.run import Reader
-from weftmap.session import shared_dir
+from weftmap.session import fresh_path
 from weftmap.sinks import ntriples
 from weftmap.sources import rdf, tables
 from weftmap.sources.shapes import Constraint, Shape
@@ -66,14 +66,14 @@ def _(spark, sf):
 
 @query("src_csv", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, sf):
-    at = f"{shared_dir(spark)}/weftmap/csv-{abs(hash(sf))}"
+    at = fresh_path(spark, "csv")
     table(spark, sf, "customer").write.mode("overwrite").option("header", True).option("sep", "|").csv(at)
     return Relation.source(tables.read_csv(spark, at, "|"), "C").named()
 
 
 @query("src_json", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
 def _(spark, sf):
-    at = f"{shared_dir(spark)}/weftmap/json-{abs(hash(sf))}"
+    at = fresh_path(spark, "json")
     table(spark, sf, "part").select("p_partkey", "p_name", "p_size").write.mode("overwrite").json(at)
     return Relation.source(tables.read_json(spark, at), "P").select(cols("P.p_partkey", "P.p_name", "P.p_size")).named()
 
@@ -98,7 +98,7 @@ def _(spark, sf):
     lines = n.select(F.explode(F.array(line(F.col("s"), rdf.RDF + "type", F.lit(f"<{BASE}Nation>")), line(F.col("s"), BASE + "name", text(F.col("n_name"))), line(F.col("s"), BASE + "region", text(F.col("n_regionkey"))))).alias("value"))
     s = table(spark, sf, "supplier")
     lines = lines.union(s.select(line(F.concat(F.lit(f"<{BASE}n"), "s_nationkey", F.lit(">")), BASE + "supplier", text(F.col("s_name")))))
-    at = f"{shared_dir(spark)}/weftmap/nations-{abs(hash(sf))}.nt"
+    at = fresh_path(spark, "nations", ".nt")
     lines.write.mode("overwrite").text(at)
     pivoted = rdf.pivot(rdf.read_triples(spark, at), _NATION_SHAPE)
     return pivoted.select("subject", "name", "region", F.array_join("supplier", ",").alias("suppliers"))

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset one of our own: beside the warehouse, or a temporary one if all is in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="weftmap-")
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            at = tempfile.mkdtemp(prefix="weftmap-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+        else:
+            at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/weftmap-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -36,12 +43,37 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are cut within are removed at the end, for drivers that live long; what was made of them must have been written by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            _forget(spark, path)
+
+
+def fresh_path(spark: SparkSession, name: str, suffix: str = "") -> str:
+    """A place in the shared folder that nothing else uses, until the end of the innermost :func:`scratch`, or else of the process."""
+    path = f"{shared_dir(spark).rstrip('/')}/weftmap/{name}-{uuid.uuid4().hex}{suffix}"
+    if _open:
+        _open[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it survives lost executors and is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weftmap/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

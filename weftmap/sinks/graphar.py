@@ -20,6 +20,8 @@ from weftmap.sinks.files import put, put_numbered
 NAME = "graph"
 VERSION = "gar/v1"
 TABLES_AT_ONCE = 4
+#: Vertices in a file where nothing else is asked for; a smaller table is one file.
+CHUNK = 1 << 20
 
 
 def admissible(graph: G.Graph) -> None:
@@ -115,12 +117,12 @@ def offset_rows(edges: DataFrame, vertices: int, chunk: int) -> DataFrame:
 
 
 def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None = None) -> None:
-    """Write a graph under ``into``. Without a chunk size each table is one chunk; at scale give one."""
+    """Write a graph under ``into``, a task for each chunk: ``chunk_size`` vertices, or at most ``CHUNK``."""
     into = into.rstrip("/")
     admissible(graph)
     for v in graph.vertices:
         representable(v)
-    chunks = {v.label: max(1, chunk_size or v.count) for v in graph.vertices}
+    chunks = {v.label: max(1, chunk_size or min(v.count, CHUNK)) for v in graph.vertices}
 
     def put_vertices(v: G.VertexTable) -> None:
         place, chunk = f"{into}/vertex/{v.label}/{group_name(v)}", chunks[v.label]

@@ -24,6 +24,36 @@ def _term(p: G.Property) -> str:
     return f'rml:reference "{p.name}" ; rml:datatype {shown}'
 
 
+def _named(name: str) -> str:
+    """An identifier of SQL."""
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _sql(wanted: dict[str, tuple[str, str]], tables: str) -> str:
+    """``wanted``: output column -> (row, column)."""
+    return f"SELECT {', '.join(f'{_named(row)}.{_named(c)} AS {_named(out)}' for out, (row, c) in wanted.items())} FROM {tables}"
+
+
+def _elements(label: str, p: G.Property) -> str:
+    """A row for each element of a set: its owner, its value, and its language if it has one."""
+    tagged = p.item == types.LANG
+    element = f"UNNEST({_named(p.name)}, recursive := true)" if tagged else f"UNNEST({_named(p.name)}) AS {_named('value')}"
+    rows = f"(SELECT {_named('subject')}, {element} FROM {_named(label)}) AS {_named('each')}"
+    return _sql({out: ("each", c) for out, c in (("subject", "subject"), (p.name, "value"), *([("lang", "lang")] if tagged else []))}, rows)
+
+
+#: The columns of an adjacency list, which vertex each says, and what that is called here.
+_ENDS = (("_graphArSrcIndex", "source", "src"), ("_graphArDstIndex", "target", "dst"))
+
+
+def _pairs(e: G.EdgeTable) -> str:
+    """The subjects of both ends of each edge."""
+    tables = f"{_named(e.name)} AS {_named('edge')}"
+    for index, end, role in _ENDS:
+        tables += f" JOIN {_named(getattr(e, end))} AS {_named(role)} ON {_named(role)}.{_named('_graphArVertexIndex')} = {_named('edge')}.{_named(index)}"
+    return _sql({role: (role, "subject") for _, _, role in _ENDS}, tables)
+
+
 def turtle(graph: G.Graph) -> str:
     """A triples map for each vertex type, each multi-valued property and each relation."""
     out = [PREFIXES]
@@ -33,19 +63,11 @@ def turtle(graph: G.Graph) -> str:
         out.append(" ;\n  ".join(lines) + " .\n")
         for p in v.properties:
             if not p.single:
-                query = f'SELECT subject, UNNEST("{p.name}") AS "{p.name}" FROM "{v.label}"'
-                if p.item == types.LANG:
-                    query = f'SELECT subject, v.value AS "{p.name}", v.lang AS lang FROM (SELECT subject, UNNEST("{p.name}") AS v FROM "{v.label}")'
-                lines = [f"<#{v.label}_{p.name}> a rml:TriplesMap", _source(query, True), 'rml:subjectMap [ rml:reference "subject" ; rml:termType rml:IRI ]']
+                lines = [f"<#{v.label}_{p.name}> a rml:TriplesMap", _source(_elements(v.label, p), True), 'rml:subjectMap [ rml:reference "subject" ; rml:termType rml:IRI ]']
                 lines.append(f"rml:predicateObjectMap [ rml:predicate <{p.predicate}> ;\n    rml:objectMap [ {_term(p)} ] ]")
                 out.append(" ;\n  ".join(lines) + " .\n")
     for e in graph.edges:
-        query = (
-            f'SELECT s.subject AS src, d.subject AS dst FROM "{e.name}" e '
-            f'JOIN "{e.source}" s ON s."_graphArVertexIndex" = e."_graphArSrcIndex" '
-            f'JOIN "{e.target}" d ON d."_graphArVertexIndex" = e."_graphArDstIndex"'
-        )
-        lines = [f"<#{e.name}> a rml:TriplesMap", _source(query, True), 'rml:subjectMap [ rml:reference "src" ; rml:termType rml:IRI ]']
+        lines = [f"<#{e.name}> a rml:TriplesMap", _source(_pairs(e), True), 'rml:subjectMap [ rml:reference "src" ; rml:termType rml:IRI ]']
         lines.append(f'rml:predicateObjectMap [ rml:predicate <{e.predicate}> ;\n    rml:objectMap [ rml:reference "dst" ; rml:termType rml:IRI ] ]')
         out.append(" ;\n  ".join(lines) + " .\n")
     return "\n".join(out)
