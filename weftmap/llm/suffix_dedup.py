@@ -15,17 +15,22 @@ judged on the input.
    Burrows-Wheeler transform of their own. The shards are merged by refining an
    interleave: a vector says, for each rank, which shard the suffix there comes
    from; sorting it stably by the symbols that precede the suffixes gives the
-   interleave by one symbol more. Suffixes are never compared again. ``STEP``
+   interleave by one symbol more. Suffixes are never compared again. ``STRIDE``
    bytes count as a symbol. Beside it runs the vector of blocks, suffixes with a
    common prefix of that depth, so after LENGTH bytes the blocks are the
    intervals of repeated windows: all but the first window of each go.
 4. The runs of windows that go meet their texts again, which are cut.
 
-A task holds the pieces of one slice of a partition at a time (``SLICE`` bytes).
-Tasks fold what they have before they send it, so a passage with a third of all
-rows is a row per task. A minimizer with more than ``HOT`` contents (a passage
-whose neighbourhood differs in each of very many texts) is not gathered: its
-windows are sent one by one to partitions of their own hashes and folded there.
+Contents are told apart by 96 bits of two independent hashes, besides the
+minimizer; rows by their id and 63 bits of a digest, and a row counts as there
+twice only where its text is the same.
+
+A task holds one of ``SUB`` shares of a partition at a time, and in the merge one
+slice (``SLICE`` bytes) of whole minimizers. Tasks fold what they have before
+they send it, so a passage with a third of all rows is a row per task. A
+minimizer with more than ``HOT`` contents (a passage whose neighbourhood differs
+in each of very many texts) is not gathered: its windows are sent one by one to
+partitions of their own hashes and merged there; a task sends equal windows once.
 """
 
 from __future__ import annotations
@@ -37,19 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmap.llm._bytes import Sums, U, column_bytes, mix
-from weftmap.llm._session import cut, partitions, text_or_empty
+from weftmap.llm._bytes import Blocks, Sums, U, column_bytes, mix
+from weftmap.llm._session import cut, integer_id, partitions, text_or_empty
 
 LENGTH = 100
 GRAM = 40
-STEP = 4
+STEP = 4  # bytes that are one symbol
+STRIDE = 20  # bytes that one round of the merge refines by, where LENGTH is a multiple of it
 SEGMENT = 1 << 19  # windows that are cut into pieces at a time
 BUFFER = 250_000  # pieces that a task holds before it sends them on
 FETCHED = 1 << 22  # bytes of pieces that a task holds before it sends them on
 SLICE = 1 << 18  # bytes whose shards are merged at a time
 SHARD = 1 << 16
+SUB = 8
 HOT = 20_000
-NO_ID = (1 << 63) - 1
 LOW48 = U((1 << 48) - 1)
 _END = 0xFF  # never part of UTF-8
 _PLACE = U((1 << 24) - 1)
@@ -70,9 +76,10 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(text, start, windows, minimizer's hash, content's hash) of all pieces of some texts, in order."""
+    """(text, start, windows, minimizer's hash, two hashes of the content) of all pieces of some texts, in order."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, U))
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+        return none
     sums = Sums(data)
     hashes = mix(sums.grams(gram))
     place = np.arange(len(hashes), dtype=U)
@@ -82,7 +89,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(best)]
     inside = np.flatnonzero(windows + length <= offsets[owner + 1])
     if not len(inside):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+        return none
     best, owner = best[inside], owner[inside]
     fresh = np.ones(len(inside), bool)
     fresh[1:] = (best[1:] != best[:-1]) | (inside[1:] != inside[:-1] + 1)
@@ -90,20 +97,22 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     start = inside[at]
     count = np.diff(np.append(at, len(inside)))
     anchor = hashes[(best[at] & _PLACE).astype(np.int64)]
-    content = mix(sums.of(start, start + count + length - 1) ^ (count.astype(U) * U(0x9FB21C651E98DF25)))
-    return owner[at], start - offsets[owner[at]], count, anchor, content
+    blocks = Blocks(data)
+    content, more = (blocks.of(start, start + count + length - 1, lane) for lane in (0, 1))
+    return owner[at], start - offsets[owner[at]], count, anchor, content, more >> U(32)
 
 
-def _tag(text: bytes) -> int:
-    """Tells rows apart that share an id."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
+def _tag(text: bytes, known: bool = True) -> int:
+    """Tells rows apart that share an id; negative where there is no id, so null is no number of its own."""
+    tag = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") >> 1
+    return tag if known else tag - (1 << 63)
 
 
-_KINDS = {"doc": "<i8", "tag": "<u4", "count": "<u4", "low": "<u4", "high": "<u2", "c_low": "<u4", "c_high": "<u2", "start": "<u4", "windows": "u1"}
+_KINDS = {"doc": "<i8", "tag": "<i8", "count": "<u4", "low": "<u4", "high": "<u2", "content": "<u8", "more": "<u4", "start": "<u4", "windows": "u1"}
 
 
-def _write(doc, tag, count, anchor, content, start, windows) -> bytes:
-    columns = (doc, tag, count, anchor, anchor >> U(32), content, content >> U(32), start, windows)
+def _write(doc, tag, count, anchor, content, more, start, windows) -> bytes:
+    columns = (doc, tag, count, anchor, anchor >> U(32), content, more, start, windows)
     head = np.array([len(doc), len(start)], "<u4").tobytes()
     return head + b"".join(np.asarray(c).astype(k).tobytes() for c, k in zip(columns, _KINDS.values(), strict=True))
 
@@ -115,8 +124,8 @@ def _read(blob):
         n = k if name in ("doc", "tag", "count") else m
         out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
-    doc, tag, count, low, high, c_low, c_high, start, windows = out
-    return doc, tag, count, low.astype(U) | high.astype(U) << U(32), c_low.astype(U) | c_high.astype(U) << U(32), start.astype(np.int64), windows.astype(np.int64)
+    doc, tag, count, low, high, content, more, start, windows = out
+    return doc, tag, count, low.astype(U) | high.astype(U) << U(32), content, more, start.astype(np.int64), windows.astype(np.int64)
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -124,8 +133,8 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _first_of_each(doc, tag, start, *keys) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys, then by row and place; and where in it a new combination of keys begins."""
-    order = np.lexsort((start, tag, doc, *keys[::-1]))
+    """Order by keys, then by row (those without an id last) and place; and where in it a new combination of keys begins."""
+    order = np.lexsort((start, tag, doc, tag < 0, *keys[::-1]))
     fresh = np.zeros(len(order), bool)
     if len(order):
         fresh[0] = True
@@ -159,8 +168,8 @@ def _batch(part: list[tuple]) -> pa.RecordBatch:
 POSTINGS, RUNS, WANTED = 0, 1, 2
 
 
-def _by_row(doc, tag, start, windows, kind: int, extra=None):
-    """One row per document: (0, kind, doc, tag, starts and window counts as bytes)."""
+def _by_row(doc, tag, start, windows, kind: int, extra=None, parts: int = 1):
+    """One row per document: (a part by its tag, kind, doc, tag, starts and window counts as bytes)."""
     if not len(doc):
         return
     order = np.lexsort((start, tag, doc))
@@ -169,7 +178,7 @@ def _by_row(doc, tag, start, windows, kind: int, extra=None):
     both = np.column_stack((start, windows)).astype("<u4")
     more = None if extra is None else extra[order].astype("<u8")
     for a, b in zip(edge, np.append(edge[1:], len(doc)), strict=True):
-        yield 0, kind, int(doc[a]), int(tag[a]), both[a:b].tobytes() + (b"" if more is None else more[a:b].tobytes())
+        yield int(tag[a]) % parts, kind, int(doc[a]), int(tag[a]), both[a:b].tobytes() + (b"" if more is None else more[a:b].tobytes())
 
 
 def _cut_up(parts: int, length: int, gram: int):
@@ -178,29 +187,30 @@ def _cut_up(parts: int, length: int, gram: int):
     def flush(docs, tags, found):
         if not found:
             return
-        text, start, windows, anchor, content = (np.concatenate(c) for c in zip(*found, strict=True))
-        doc, tag = np.array(docs, np.int64)[text], np.array(tags, np.int64)[text]
+        text, start, windows, anchor, content, more = (np.concatenate(c) for c in zip(*found, strict=True))
+        docs, tags = np.array(docs, np.int64), np.array(tags, np.int64)
+        doc, tag = docs[text], tags[text]
         both = anchor ^ mix(content)
         _, inverse, times = np.unique(both, return_inverse=True, return_counts=True)
         several = np.flatnonzero(times[inverse] > 1)
-        order, fresh = _first_of_each(doc[several], tag[several], start[several], both[several])
+        order, fresh = _first_of_each(doc[several], tag[several], start[several], both[several], content[several], more[several])
         copies = several[order[~fresh]]
         firsts = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))[~fresh]
         first = several[order[firsts]]
         itself = (doc[copies] == doc[first]) & (tag[copies] == tag[first]) & (start[copies] == start[first])
-        yield from _by_row(doc[copies[~itself]], tag[copies[~itself]], start[copies[~itself]], windows[copies[~itself]], RUNS)
+        yield from _by_row(doc[copies[~itself]], tag[copies[~itself]], start[copies[~itself]], windows[copies[~itself]], RUNS, parts=parts)
         keep = np.ones(len(text), bool)
         keep[copies] = False
-        text, start, windows, anchor, content = text[keep], start[keep], windows[keep], anchor[keep], content[keep]
+        text, start, windows, anchor, content, more = text[keep], start[keep], windows[keep], anchor[keep], content[keep], more[keep]
         part = _part(mix(anchor), parts)  # minimizers are small numbers: mixed, they spread evenly
-        order = np.argsort(part.astype(np.uint16), kind="stable")
+        order = np.argsort(part.astype(np.uint32), kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=U))
-        docs, tags = np.array(docs, np.int64), np.array(tags, np.int64)
         for p in np.flatnonzero(np.diff(edges)):
             own = order[edges[p] : edges[p + 1]]
             t = text[own]
             at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            yield int(p), POSTINGS, None, None, _write(docs[t[at]], tags[t[at]], np.diff(np.append(at, len(t))), anchor[own] & LOW48, content[own] & LOW48, start[own], windows[own])
+            blob = _write(docs[t[at]], tags[t[at]], np.diff(np.append(at, len(t))), anchor[own] & LOW48, content[own], more[own], start[own], windows[own])
+            yield int(p), POSTINGS, None, None, blob
 
     def run(batches):
         docs, tags, found, held = [], [], [], 0
@@ -213,8 +223,8 @@ def _cut_up(parts: int, length: int, gram: int):
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SEGMENT, "right")) - 1)
                 a, b = int(offsets[i]), int(offsets[j])
                 base = len(docs)
-                docs += [NO_ID if d is None else d for d in ids[i:j]]
-                tags += [_tag(data[offsets[x] : offsets[x + 1]].tobytes()) for x in range(i, j)]
+                docs += [d or 0 for d in ids[i:j]]
+                tags += [_tag(data[offsets[x] : offsets[x + 1]].tobytes(), ids[x] is not None) for x in range(i, j)]
                 for low in range(a, max(a + 1, b), SEGMENT if j == i + 1 else max(1, b - a)):
                     high = min(b, low + SEGMENT + length - 1) if j == i + 1 else b
                     local = np.array([0, high - low]) if j == i + 1 else offsets[i : j + 1] - a
@@ -237,24 +247,13 @@ def _cut_up(parts: int, length: int, gram: int):
 def _fold(length: int, hot: int):
     """Whole minimizers -> runs of copies, and the pieces whose bytes are wanted, by document."""
 
-    def run(batches):
-        got = []
-        for batch in batches:
-            kinds = batch.column(1).to_pylist()
-            for i, kind in enumerate(kinds):
-                if kind == POSTINGS:
-                    got.append(_read(batch.column(4)[i].as_buffer()))
-            passed = np.flatnonzero(np.array(kinds) != POSTINGS)
-            if len(passed):
-                yield batch.take(pa.array(passed))
-        if not got:
-            return
+    def fold(got):
         count = np.concatenate([g[2] for g in got]).astype(np.int64)
         doc = np.repeat(np.concatenate([g[0] for g in got]), count)
-        tag = np.repeat(np.concatenate([g[1] for g in got]).astype(np.int64), count)
-        anchor, content, start, windows = (np.concatenate([g[i] for g in got]) for i in (3, 4, 5, 6))
-        order, fresh = _first_of_each(doc, tag, start, anchor, content)
-        doc, tag, anchor, content, start, windows = doc[order], tag[order], anchor[order], content[order], start[order], windows[order]
+        tag = np.repeat(np.concatenate([g[1] for g in got]), count)
+        anchor, content, more, start, windows = (np.concatenate([g[i] for g in got]) for i in range(3, 8))
+        order, fresh = _first_of_each(doc, tag, start, anchor, content, more)
+        doc, tag, anchor, start, windows = doc[order], tag[order], anchor[order], start[order], windows[order]
         # a row that is there twice is no copy of itself
         itself = np.zeros(len(doc), bool)
         itself[1:] = ~fresh[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1])
@@ -268,6 +267,23 @@ def _fold(length: int, hot: int):
         anchor = anchor | np.where(many > hot, U(1) << U(63), U(0))
         yield from _routed(_by_row(doc[want], tag[want], start[want], windows[want], WANTED, anchor[want]))
 
+    def run(batches):
+        now, got = None, []
+        for batch in batches:
+            places, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, kind in enumerate(kinds):
+                if kind == POSTINGS:
+                    if places[i] != now and got:
+                        yield from fold(got)
+                        got = []
+                    now = places[i]
+                    got.append(_read(batch.column(4)[i].as_buffer()))
+            passed = np.flatnonzero(np.array(kinds) != POSTINGS)
+            if len(passed):
+                yield batch.take(pa.array(passed))
+        if got:
+            yield from fold(got)
+
     return run
 
 
@@ -313,12 +329,16 @@ PIECES = "part int, anchor long, doc long, tag long, start long, bytes binary"
 
 
 def _piece_rows(rows, parts):
-    """Pieces as they are; of equal windows sent one by one the first, and of the others where they are."""
-    least: dict = {}
+    """Pieces as they are; of windows sent one by one that hold the same bytes the first, and of the others where they are."""
+    least: dict[bytes, tuple] = {}
+
+    def place(r):
+        return (r[2] < 0, *r[1:4])
+
     for r in rows:
-        if r[0] >> 48 and (r[0] not in least or r[1:4] < least[r[0]]):
-            least[r[0]] = r[1:4]
-    rows = [r if not r[0] >> 48 or r[1:4] == least[r[0]] else (*r[:4], None) for r in rows]
+        if r[0] >> 48 and (r[4] not in least or place(r) < least[r[4]]):
+            least[r[4]] = place(r)
+    rows = [r if not r[0] >> 48 or place(r) == least[r[4]] else (*r[:4], None) for r in rows]
     if rows:
         anchor = np.array([r[0] for r in rows], U)
         spread = (mix(anchor) >> U(32)) * U(parts) >> U(32)
@@ -334,45 +354,81 @@ def _codes(text: np.ndarray) -> np.ndarray:
     return around[:n] << 24 | around[1 : n + 1] << 16 | around[2 : n + 2] << 8 | around[3 : n + 3]
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some numbers, equal ones by place, and the rank of each among those that differ.
+
+    Where number and place fit into 64 bits they are sorted as one, which takes a
+    fraction of the time of a stable sort.
+    """
+    n = len(key)
+    bits = max(1, n - 1).bit_length()
+    if int(key.max()).bit_length() + bits <= 64:
+        both = (key.astype(U) << U(bits)) | np.arange(n, dtype=U)
+        both.sort()
+        order = (both & U((1 << bits) - 1)).astype(np.int64)
+        ranked = both >> U(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+    rank = np.zeros(n, np.int64)
+    rank[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1])
+    return order, rank
+
+
+def _pair_ranked(rank: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs of ranks."""
+    return _ranked((rank << max(1, int(other.max())).bit_length()) | other)
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of a cyclic text in the order of the ``depth`` symbols (or more) from there on, by doubling."""
     n = len(text)
-    _, rank = np.unique(_codes(text), return_inverse=True)
-    known, order = 4, None
-    while True:
-        key = rank.astype(np.int64) << 32 | np.roll(rank, -(known % n))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+    order, rank = _ranked(_codes(text))
+    known = STEP
+    while known < depth and rank[order[-1]] < n - 1:
+        order, rank = _pair_ranked(rank, np.roll(rank, -(known % n)))
         known *= 2
-        if known >= depth or rank[order[-1]] == n - 1:
-            return order
+    return order
+
 
+def _strides(texts: list[np.ndarray], step: int) -> list[np.ndarray]:
+    """For each place of each cyclic text the rank of the ``step`` symbols from there on among all such strings of all texts, by doubling."""
+    sizes = np.cumsum([len(t) for t in texts])[:-1]
 
-def merge_transforms(texts: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    def onward(ranks: np.ndarray, by: int) -> np.ndarray:
+        return np.concatenate([np.roll(r, -(by % len(r))) for r in np.split(ranks, sizes)])
+
+    known = {STEP: _ranked(np.concatenate([_codes(t) for t in texts]))[1]}
+    size = STEP
+    while 2 * size <= step:
+        known[2 * size] = _pair_ranked(known[size], onward(known[size], size))[1]
+        size *= 2
+    rank, have = known[size], size
+    for more in sorted(known, reverse=True):
+        while have + more <= step:
+            rank = _pair_ranked(rank, onward(known[more], have))[1]
+            have += more
+    return np.split(rank, sizes)
+
+
+def merge_transforms(texts: list[np.ndarray], depth: int = LENGTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Merged order of all places of some cyclic texts, and for each its block: places there whose next ``depth`` symbols are equal.
 
-    Places count through the texts one after the other. ``depth`` is a multiple of STEP.
+    Places count through the texts one after the other. ``depth`` is a multiple
+    of STEP; ``stride``, or else STEP, symbols are refined by at a time.
     """
     arrays = [suffix_array(t, depth) for t in texts]
-    # the transform: the STEP symbols before each suffix, as ranks of 16 bits
-    before = [np.roll(_codes(t), STEP)[a] for t, a in zip(texts, arrays, strict=True)]
-    step, seen = STEP, np.unique(np.concatenate(before))
-    if len(seen) > 1 << 16:  # too many different ones: two symbols at a time
-        step = 2
-        before = [(np.roll(_codes(t), 2)[a] >> 16).astype(np.uint16) for t, a in zip(texts, arrays, strict=True)]
-    else:
-        before = [np.searchsorted(seen, b).astype(np.uint16) for b in before]
-    transform = np.concatenate(before)
+    step = stride if depth % stride == 0 else STEP
+    # the transform: the symbols before each suffix, as one rank
+    transform = np.concatenate([np.roll(r, step)[a] for r, a in zip(_strides(texts, step), arrays, strict=True)])
     n = len(transform)
     source = np.repeat(np.arange(len(texts), dtype=np.uint8 if len(texts) < 256 else np.uint16), [len(t) for t in texts])
-    block = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.uint16)
+    block = np.zeros(n, np.int64)
+    symbol = np.empty(n, np.int64)
     for _ in range(0, depth, step):
         # each shard's suffixes take its transform in order, wherever the interleave puts them
         symbol[np.argsort(source, kind="stable")] = transform
-        order = np.argsort(symbol, kind="stable")
+        order, _ = _ranked(symbol)
         ranked, own = symbol[order], block[order]
         source = source[order]
         block[0] = 0
@@ -478,22 +534,24 @@ def _finish(length: int):
     """Rows sorted by (doc, tag, kind): runs, then texts -> what is left of each text."""
 
     def run(batches):
-        now, runs, first, out, size = None, [], True, [], 0
+        now, runs, first, out, size = None, [], None, [], 0
         for batch in batches:
             docs, tags, kinds = (batch.column(i).to_pylist() for i in range(3))
             for i in range(len(docs)):
                 if (docs[i], tags[i]) != now:
-                    now, runs, first = (docs[i], tags[i]), [], True
+                    now, runs, first = (docs[i], tags[i]), [], None
                 blob = batch.column(3)[i].as_py()
                 if kinds[i] == RUNS:
                     runs.append(np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64))
                     continue
-                if first:
+                if first is None:
                     removed, spans, kept = cut_out(blob, np.concatenate(runs) if runs else np.zeros((0, 2), np.int64), length)
+                    first = blob
+                elif first != blob:
+                    raise ValueError(f"two texts of id {docs[i]} share the digest {tags[i]}")
                 else:  # the same row again: every window of it starts earlier
                     removed, spans, kept = (len(blob), 1, b"") if len(blob) >= length else (0, 0, blob)
-                first = False
-                out.append((None if docs[i] == NO_ID else docs[i], len(blob), removed, spans, kept))
+                out.append((None if tags[i] < 0 else docs[i], len(blob), removed, spans, kept))
                 size += len(kept)
                 if size >= FETCHED:
                     yield _result(out)
@@ -521,8 +579,9 @@ def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
 def _tagged(batches):
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
-        tags = [_tag(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        docs = [NO_ID if d is None else d for d in batch.column(0).to_pylist()]
+        docs = batch.column(0).to_pylist()
+        tags = [_tag(data[a:b].tobytes(), d is not None) for a, b, d in zip(offsets[:-1], offsets[1:], docs, strict=True)]
+        docs = [d or 0 for d in docs]
         blobs = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array([TEXT] * len(docs), pa.int32()), blobs], names=["doc", "tag", "kind", "blob"])
 
@@ -533,13 +592,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts are empty; texts shorter than ``length`` stay whole. Null ids come
     last. Rows that share an id are ordered by a hash of their texts; of rows
     that repeat id and text one is the first and the others go. An empty table
-    gives an empty table.
+    gives an empty table. Ids are whole numbers, others are refused.
     """
-    if length % STEP or not 4 <= gram <= length:
-        raise ValueError("length must be a multiple of 4 and at least gram")
+    if length % STEP or not 4 <= gram <= length or length - gram > 254:
+        raise ValueError("length must be a multiple of 4, at least gram, and at most 254 more than it")
     parts = min(partitions(docs.sparkSession), (1 << 16) - 1)
-    own = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
-    routed = own.mapInArrow(_cut_up(parts, length, gram), ROUTED).repartitionById(parts, "part")
+    own = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    routed = own.mapInArrow(_cut_up(parts * SUB, length, gram), ROUTED)
+    routed = routed.repartitionById(parts, F.floor(F.col("part") / SUB).cast("int")).sortWithinPartitions("part")
     folded = cut(routed.mapInArrow(_fold(length, hot), ROUTED), "folded")
     texts = own.mapInArrow(_tagged, "doc long, tag long, kind int, blob binary")
     wanted = _with_texts(texts, folded.filter(F.col("kind") == WANTED)).mapInArrow(_fetch(parts, length), PIECES)
