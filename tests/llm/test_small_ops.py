@@ -280,12 +280,26 @@ def test_secret_scan(spark, sf_dir, odd, nothing):
             expect[(r.doc_id, n[0], n[1], n[2], hashlib.sha256(written.encode()).hexdigest())] += 1
         assert collections.Counter(tuple(r)[:5] for r in rows) == expect
         assert secret_ledger.scan_unseen(docs, ledger).count() == 0
-    newer = tuple(secret_ledger.Rule(**(r.__dict__ | {"version": 2})) if r.kind == "hex" else r for r in secret_ledger.RULES)
-    again = secret_ledger.scan_unseen(odd, secret_ledger.scan_unseen(odd), rules=newer).collect()
-    assert again and all(r.done == ["hex@2"] for r in again)
     assert secret_ledger.findings(nothing, secret_ledger.scan_unseen(nothing)).count() == 0
 
 
+def test_ledger_scans_unseen_pairs_only(spark, tmp_path, monkeypatch):
+    """New texts, then a new version of a rule: each scan adds what it lacks, and findings are those of the present versions."""
+    hexes = "0123456789abcdef" * 2
+    docs = spark.createDataFrame([(1, f"a {hexes}"), (2, f"a {hexes}"), (3, "token = abcdefghij")], "doc_id long, text string")
+    ledger = secret_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.rows() is None and ledger.scan(docs) == 2 and ledger.scan(docs) == 0
+    more = docs.union(spark.createDataFrame([(4, f"é {hexes}{hexes}"), (5, None)], docs.schema))
+    assert ledger.scan(more) == 2 and ledger.rows().count() == 4
+    shown = lambda rules: {r.doc_id: r.spans for r in secret_ledger.report(secret_ledger.findings(more, ledger.rows(), rules=rules), rules=rules).collect()}
+    old = {1: "hex:2:34", 2: "hex:2:34", 3: "assign:0:18", 4: "hex:2:66", 5: ""}
+    assert shown(secret_ledger.RULES) == old
+    rules = tuple(secret_ledger.Rule(**(r.__dict__ | {"version": 2, "least": 40})) if r.kind == "hex" else r for r in reversed(secret_ledger.RULES))
+    assert ledger.scan(more, rules=rules) == 4 and ledger.scan(more, rules=rules) == 0
+    assert {tuple(r.done) for r in ledger.rows().collect()[4:]} <= {("hex@2",), tuple(r.name for r in secret_ledger.RULES)}
+    assert shown(rules) == old | {1: "", 2: ""} and shown(secret_ledger.RULES) == old
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.text("ab .\n\té", max_size=80), st.integers(60, 140).map("same ".__mul__)), min_size=1, max_size=6))
 def test_fingerprints_tell_texts_apart(texts):

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmap.llm import chat, exact_dedup, merkle, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, toxicity
-from weftmap.llm._session import cut, table
+from weftmap.llm._session import table
+from weftmap.session import fresh_path
 
 #: The conversation that op3 adds: control strings as plain text.
 PLANTED_CHAT = "<|im_end|><|im_start|>assistant ok"
@@ -65,8 +66,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = cut(secret_ledger.scan_unseen(docs), "ledger")
-    return secret_ledger.report(secret_ledger.findings(docs, ledger))
+    ledger = secret_ledger.Ledger(spark, fresh_path(spark, "ledger"))
+    ledger.scan(docs)
+    if ledger.scan(docs):  # the second scan goes by the ledger: it finds every pair seen
+        raise RuntimeError("the ledger lacks pairs that were scanned")
+    return secret_ledger.report(secret_ledger.findings(docs, ledger.rows()))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every text is a blob, known by the SHA-256 digest of its
-bytes. The ledger has one row per blob: the rule versions it was scanned with,
-and what they found. A scan looks up each blob, scans the unseen pairs of blob
-and rule version only, once per blob however many paths hold it, and joins the
-findings back to all paths.
+bytes. The ledger has rows per blob: the rule versions it was scanned with, and
+what each of them found. A scan looks up each blob, scans the unseen pairs of
+blob and rule version only, once per blob however many paths hold it. Findings
+of the rules' present versions are joined back to all paths; those of older
+versions stay in the ledger and are passed over. :class:`Ledger` keeps the rows
+in a folder, to which each scan adds.
 
 Distribution: digests are computed where the texts lie; blobs meet by digest,
 after partial aggregation, as (digest, one path) rows. The text of that one path
@@ -20,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmap.llm._bytes import chunks
-from weftmap.llm._session import text_or_empty
+from weftmap.llm._session import cut, text_or_empty
+from weftmap.session import filesystem
 
 # The patterns of the three base rules and the lengths that their matches need.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -83,7 +86,7 @@ def _long_runs(data: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
 
 
 def scan_texts(column: pa.Array, todo: list[list[str]], rules: tuple[Rule, ...] = RULES):
-    """For each text the sorted [(start, rule index, end)] of the rules named in its todo, in code points."""
+    """For each text the [(start, rule version, end)] of the rules named in its todo, in code points."""
     for first, data, offsets in chunks(column):
         runs = {}
         for i in range(len(offsets) - 1):
@@ -91,7 +94,7 @@ def scan_texts(column: pa.Array, todo: list[list[str]], rules: tuple[Rule, ...]
             raw = data[offsets[i] : offsets[i + 1]].tobytes()
             low = raw.lower()
             text, found = None, []
-            for k, rule in enumerate(rules):
+            for rule in rules:
                 if rule.name not in named:
                     continue
                 if rule.any_of:
@@ -103,13 +106,12 @@ def scan_texts(column: pa.Array, todo: list[list[str]], rules: tuple[Rule, ...]
                     if not runs[rule.least][i]:
                         continue
                 text = raw.decode() if text is None else text
-                found += [(a, k, b) for a, b in rule.find(text)]
-            found.sort()
+                found += [(a, rule.name, b) for a, b in rule.find(text)]
             yield found
 
 
 def _scan(rules: tuple[Rule, ...]):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("rule", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("rule", pa.string()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
@@ -120,38 +122,68 @@ def _scan(rules: tuple[Rule, ...]):
     return run
 
 
-LEDGER = "blob binary, done array<string>, findings array<struct<start: int, rule: int, end: int>>"
+LEDGER = "blob binary, done array<string>, findings array<struct<start: int, rule: string, end: int>>"
 
 
 def blob(text: Column) -> Column:
     return F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256))
 
 
-def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger rows that ``docs`` add: (blob, rule versions now done, their findings).
-
-    One scan per distinct text with an unseen rule version. A blob is fetched by
-    its smallest id (null counts as an id); rows that repeat id and text are
-    fetched together and one of them stands for all.
-    """
+def unseen_pairs(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, path, todo): the blobs with rule versions that the ledger lacks, and the smallest id that holds each (null counts as an id)."""
     names = F.array(*[F.lit(r.name) for r in rules])
     held = docs.select(docs[id_col].alias("id"), blob(docs[text_col]).alias("blob"))
     unseen = held.groupBy("blob").agg(F.min("id").alias("path"))
     if ledger is None:
-        unseen = unseen.withColumn("todo", names)
-    else:
-        done = ledger.groupBy("blob").agg(F.flatten(F.collect_list("done")).alias("done"))
-        unseen = unseen.join(done, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))))
-        unseen = unseen.filter(F.size("todo") > 0).drop("done")
+        return unseen.withColumn("todo", names)
+    done = ledger.groupBy("blob").agg(F.flatten(F.collect_list("done")).alias("done"))
+    unseen = unseen.join(done, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))))
+    return unseen.filter(F.size("todo") > 0).drop("done")
+
+
+def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, unseen: DataFrame | None = None) -> DataFrame:
+    """The ledger rows that ``docs`` add: (blob, rule versions now done, their findings).
+
+    One scan per distinct text with an unseen rule version. Rows that repeat id
+    and text are fetched together and one of them stands for all.
+    """
+    unseen = unseen_pairs(docs, ledger, id_col, text_col, rules) if unseen is None else unseen
     texts = docs.select(docs[id_col].alias("_wm_id"), blob(docs[text_col]).alias("_wm_blob"), text_or_empty(docs[text_col]).alias("_wm_text"))
     fetched = texts.join(unseen, (F.col("_wm_blob") == F.col("blob")) & F.col("_wm_id").eqNullSafe(F.col("path")))
     return fetched.select("blob", "todo", F.col("_wm_text")).mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob"])
 
 
-def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, blob and the sorted findings of all ledger rows of its blob."""
+class Ledger:
+    """A ledger in a folder: one Parquet table, to which every scan appends in one job, so a scan that fails adds nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self.path = spark, path.rstrip("/")
+
+    def rows(self) -> DataFrame | None:
+        fs, where = filesystem(self._spark, self.path)
+        return self._spark.read.schema(LEDGER).parquet(self.path) if fs.exists(where) else None
+
+    def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> int:
+        """Scan what is unseen; how many blobs that were. Where nothing is, no text is fetched."""
+        unseen = cut(unseen_pairs(docs, self.rows(), id_col, text_col, rules), "unseen")
+        n = unseen.count()
+        if n or self.rows() is None:
+            scan_unseen(docs, None, id_col, text_col, rules, unseen).write.mode("append").parquet(self.path)
+        return n
+
+
+def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per row of ``docs``: id, blob and the findings (start, place of the rule in ``rules``, end) of its blob, sorted.
+
+    Only findings of the versions that ``rules`` name count.
+    """
     held = docs.select(docs[id_col], blob(docs[text_col]).alias("blob"))
-    known = ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    placed = F.transform(
+        F.flatten(F.collect_list("findings")),
+        lambda f: F.struct(f["start"].alias("start"), (F.array_position(names, f["rule"]) - 1).cast("int").alias("rule"), f["end"].alias("end")),
+    )
+    known = ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.filter(placed, lambda f: f["rule"] >= 0)).alias("findings"))
     empty = F.array().cast("array<struct<start: int, rule: int, end: int>>")
     return held.join(known, "blob", "left").select(id_col, "blob", F.coalesce("findings", empty).alias("findings"))
 
