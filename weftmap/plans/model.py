@@ -3,7 +3,8 @@
 A source with a key is a type, named after the source. A column that is included
 in another type's key is a relation, named by the column without a trailing
 ``id``. A source without a key whose two inclusions land on types is a link, and
-so a relation across it. Every other column is a field. Where more than one
+so a relation across it, or, where that is chosen, a type of its own that both
+ends identify. Every other column is a field. Where more than one
 reading stands, it is an ambiguity with options, the first of which is taken.
 """
 
@@ -45,10 +46,14 @@ class RelationModel:
 class TypeModel:
     name: str
     source: str
-    key: str
+    keys: tuple[str, ...]  # columns that identify a row
     fields: list[FieldModel] = field(default_factory=list)
     relations: list[RelationModel] = field(default_factory=list)
 
+    @property
+    def key(self) -> str:
+        return self.keys[0]
+
 
 @dataclass
 class Model:
@@ -116,19 +121,22 @@ def infer(profile: Profile, choices: dict[str, str] | None = None) -> Model:
         return next(i for i in found if i.referenced == own)
 
     made, left_out = [], []
-    for s in profile.sources:
-        if s.name not in keys:
-            continue
-        t = TypeModel(names[s.name], s.name, keys[s.name])
+
+    def filled(s, t: TypeModel, ends: tuple[str, ...] = ()) -> TypeModel:
+        """A type with the source's columns as fields and relations; ``ends`` are relations although they identify a row."""
         own: set[str] = set()
         for c in s.columns:
             optional = c.present < s.rows
-            i = target(s.name, c.name) if c.name != t.key else None
+            i = target(s.name, c.name) if c.name in ends or c.name not in t.keys else None
             if i is not None:
                 t.relations.append(RelationModel(_unique(_without_id(c.name), own), c.name, names[i.referenced], optional))
             else:
                 t.fields.append(FieldModel(_unique(identifier(c.name), own), c.name, c.type, optional))
-        made.append(t)
+        return t
+
+    for s in profile.sources:
+        if s.name in keys:
+            made.append(filled(s, TypeModel(names[s.name], s.name, (keys[s.name],))))
     by_source = {t.source: t for t in made}
     for s in profile.sources:
         if s.name in keys:
@@ -138,6 +146,9 @@ def infer(profile: Profile, choices: dict[str, str] | None = None) -> Model:
             left_out.append(s.name)
             continue
         (near, a), (far, b) = ends
+        if ask(f"count:{s.name}", f"is {s.name} a relation or a type of its own?", ["link", "thing"]) == "thing":
+            made.append(filled(s, TypeModel(_unique(pascal(s.name), taken), s.name, (near, far)), (near, far)))
+            continue
         t = by_source[a.referenced]
         own = {f.name for f in t.fields} | {r.name for r in t.relations}
         t.relations.append(RelationModel(_unique(_without_id(far), own), near, names[b.referenced], True, s.name, far))
@@ -169,7 +180,7 @@ def write(model: Model, places: dict[str, str], base: str) -> str:
         row = rows[t.source]
 
         def body(t=t, row=row):
-            yield f'    @subject = "{base}{identifier(t.name)}/{{{_member(row, t.key)}}}"'
+            yield f'    @subject = "{base}{identifier(t.name)}/{"/".join("{" + _member(row, k) + "}" for k in t.keys)}"'
             yield from (f"    {f.name} = {_member(row, f.column)}" for f in t.fields)
             yield from (f"    {r.name} = {r.target}({_member(row, r.column)})" for r in t.relations if not r.link)
 

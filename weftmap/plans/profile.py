@@ -119,6 +119,11 @@ def sample(df: DataFrame, n: int = SHOWN) -> DataFrame:
     return first_rows(df.select([_comparable(F.col(quoted(f.name)), f).cast("string").alias(f.name) for f in df.schema]), n)
 
 
+def shown(c: Column) -> Column:
+    """A text that is long is left out, never cut."""
+    return F.when(F.octet_length(c) <= LONGEST_VALUE, c)
+
+
 def _shown(value: str | None) -> str | None:
     """A value that is long is left out, never cut."""
     return value if value is None or len(value.encode()) <= LONGEST_VALUE else None
@@ -129,6 +134,8 @@ def profile(sources: dict[str, DataFrame], depth: int = 0, shown: int = SHOWN) -
     found = []
     read = {name: first_rows(df, depth) if depth else df for name, df in sources.items()}
     for name, df in read.items():
+        first = sample(df, shown) if shown else None
+        first = first and first.select([globals()["shown"](F.col(quoted(c))).alias(c) for c in first.columns])
         told = counts(df).first()
         columns = []
         for i, (c, ty) in enumerate(describe(df)):
@@ -136,7 +143,7 @@ def profile(sources: dict[str, DataFrame], depth: int = 0, shown: int = SHOWN) -
             if column.distinct < column.present:
                 column.top = [(r.value, r.n) for r in top_values(df, c).collect() if _shown(r.value) is not None]
             columns.append(column)
-        rows = [[_shown(v) for v in r] for r in sample(df, shown).collect()] if shown else []
+        rows = [list(r) for r in first.collect()] if first is not None else []
         found.append(SourceProfile(name, told["rows"], columns, rows))
     inclusions = []
     for a in found:

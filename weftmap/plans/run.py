@@ -14,6 +14,7 @@ from weftmap.operators import graph as G
 from weftmap.operators.algebra import Source
 from weftmap.operators.relation import Relation, Slot
 from weftmap.plans.compile import Host, Program, compile_program, diagnose
+from weftmap.session import filesystem, fresh_path, scratch
 from weftmap.sources import rdf, tables
 from weftmap.sources.location import read_text, resolve
 
@@ -129,9 +130,24 @@ def check(spark: SparkSession, text: str, **reads) -> list[Refusal]:
     return diagnose(text, Reader(spark, **reads).host())
 
 
+FILES_AT_MOST = 1 << 28
+
+
+def files(spark: SparkSession, place: str) -> dict[str, bytes]:
+    """The files under a place, by their paths within it; refused before any is read if they are too large together."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(place)
+    size = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > FILES_AT_MOST:
+        raise Refusal("run/too-large", f"the files of the graph are {size} bytes")
+    root = filesystem(spark, place)[1].toUri().getPath().rstrip("/") + "/"
+    return {r.path.partition(root)[2]: bytes(r.content) for r in found.select("path", "content").collect()}
+
+
 def run(spark: SparkSession, text: str, into: str | None = None, form: str = "graph", chunk_size: int | None = None, **reads) -> dict:
-    """Compile, build, and write where asked (``form``: graph or ntriples): {location, dropped, graph}.
+    """Compile, build, and write where asked (``form``: graph or ntriples): {location, dropped, graph, files}.
 
+    With ``form`` files and no place the graph's files are handed back, path by
+    path, for a host that keeps them itself; only a small graph is (``FILES_AT_MOST`` bytes).
     ``chunk_size`` is the number of vertices in a file of the graph; without one
     a table is cut into chunks of ``graphar.CHUNK`` vertices.
     """
@@ -141,9 +157,15 @@ def run(spark: SparkSession, text: str, into: str | None = None, form: str = "gr
         raise Refusal("run/invalid-option", "a chunk holds one vertex at least")
     program = load(spark, text, **reads)
     graph = build(program)
-    if into is not None and form == "graph":
+    held = None
+    if form == "files":
+        with scratch(spark):
+            place = fresh_path(spark, "files")
+            graphar.write(spark, graph, place, chunk_size)
+            held = files(spark, place)
+    elif into is not None and form == "graph":
         graphar.write(spark, graph, into, chunk_size)
     elif into is not None:
         ntriples.write(spark, graph, into)
     dropped = [{"edge": e.name, "rows": e.dropped} for e in graph.edges if e.dropped]
-    return {"location": into, "dropped": dropped, "graph": graph}
+    return {"location": into, "dropped": dropped, "graph": graph, "files": held}
