@@ -39,7 +39,7 @@ def test_toxicity(spark):
     rows = queries.op10_toxicity(spark, SF).collect()
     assert len(rows) == 1000
     score, label = held_out(spark, rows, "toxic", 4, 2)
-    assert (score[label == 1] >= 0.3).mean() > 0.6 and (score[label == 0] >= 0.3).mean() < 0.06
+    assert (score[label == 1] >= 0.3).mean() > 0.7 and (score[label == 0] >= 0.3).mean() < 0.06  # 14 toxic rows, few of them not English
 
 
 def test_toxicity_in_each_language(spark):
@@ -50,8 +50,7 @@ def test_toxicity_in_each_language(spark):
     for lang in ("de", "en", "es", "fr"):
         own = [(r.predicted, labels[r.doc_id]) for r in rows if docs[r.doc_id] == lang]
         caught, false = ([p for p, y in own if y == label] for label in (1, 0))
-        print(lang, sum(caught), len(caught), sum(false), len(false))
-        assert np.mean(caught) > 0.7 and np.mean(false) < 0.2, lang
+        assert np.mean(caught) >= 0.9 and np.mean(false) < 0.15, (lang, sum(caught), len(caught), sum(false), len(false))
 
 
 def make(sentences):
@@ -60,6 +59,103 @@ def make(sentences):
     return np.frombuffer(b"".join(texts), np.uint8), offsets
 
 
+def test_distinct_units_of_a_text():
+    letters, first, _, sentence = toxicity.units(*make(["a bb. cc bb dd! bb a cc"]))
+    words = ["".join(chr(96 + c) for c in letters[a:b]) for a, b in zip(first, first[1:])]
+    at, said, times, before = toxicity.distinct_units(letters, first, sentence)
+    assert [words[i] for i in at] == ["a", "bb", "cc", "dd"]
+    assert said.tolist() == [0, 0, 1, 1] and times.tolist() == [2, 3, 2, 1] and before.tolist() == [-1, 0, 1, 1]
+
+
+def test_svm_against_a_plain_search():
+    """The Newton steps end where no small change of any coefficient makes the loss less."""
+    rng = np.random.default_rng(1)
+    z = np.column_stack((rng.normal(size=(300, 4)), np.ones(300))).astype(np.float32)
+    y = np.where(z[:, 0] + 0.3 * rng.normal(size=300) > 0.2, 1.0, -1.0)
+    weight = rng.uniform(0.5, 2, 300)
+    w = toxicity._svm(z, y, weight)
+
+    def loss(w):
+        return sum(w[:-1] ** 2) / 2 + 1e-6 * w[-1] ** 2 / 2 + sum(weight * np.maximum(0, 1 - y * (z @ w)) ** 2)
+
+    assert all(loss(w + d * e) >= loss(w) - 1e-6 for e in np.eye(5) for d in (0.01, -0.01))
+
+
+def plain_walk(model, x):
+    """One row's raw score, tree by tree and node by node."""
+    total = model.bias
+    for feature, threshold, leaf in zip(model.feature.tolist(), model.threshold.tolist(), model.leaf.tolist()):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+        total += leaf[node - len(feature)]
+    return total
+
+
+def plain_best(x, gradient, weight, edges, rows, ridge, least):
+    """(column, threshold) of the best first split of some rows, from sums over rows."""
+    best, where = 0.0, None
+    g, h = sum(gradient[i] for i in rows), sum(weight[i] for i in rows)
+    for c, cuts in enumerate(edges):
+        for cut in cuts:
+            left = [i for i in rows if x[i][c] <= cut]
+            a, b = sum(gradient[i] for i in left), sum(weight[i] for i in left)
+            if b < least or h - b < least:
+                continue
+            gain = a * a / (b + ridge) + (g - a) ** 2 / (h - b + ridge) - g * g / (h + ridge)
+            if gain > best + 1e-9:
+                best, where = gain, (c, cut)
+    return where
+
+
+def test_trees_against_plain_python():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(200, 5)), 1)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] < -0.2)).astype(float)
+    model = quality.grow(x, y, trees=6, depth=3, bins=16)
+    raw = model.raw(x)
+    assert raw == pytest.approx([plain_walk(model, r) for r in x.tolist()])
+    assert ((raw > 0) == (y > 0)).mean() > 0.9
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, 16)[1:-1])) for c in x.T]
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    gradient, weight = y - share, np.full(len(y), share * (1 - share))
+    assert (model.feature[0, 0], model.threshold[0, 0]) == plain_best(x.tolist(), gradient, weight, edges, range(200), 2.0, 4.0)
+    # the leaves of the first tree are the regularised means of what falls into them
+    node = [0] * 200
+    for i, r in enumerate(x.tolist()):
+        while node[i] < 7:
+            node[i] = 2 * node[i] + (2 if r[model.feature[0, node[i]]] > model.threshold[0, node[i]] else 1)
+    for k in range(7, 15):
+        own = [i for i in range(200) if node[i] == k]
+        assert model.leaf[0, k - 7] == pytest.approx(0.15 * sum(gradient[i] for i in own) / (sum(weight[i] for i in own) + 2.0))
+
+
+def plain_statistics(text):
+    """Some of the statistics of one text, from its words and lines."""
+    import re
+
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw.lower())
+    lines = [x for x in raw.split(b"\n")][: -1 if raw.endswith(b"\n") else None] if raw else []
+    n = max(1, len(words))
+    pairs = list(zip(words, words[1:]))
+    return {
+        "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), "digit": sum(48 <= b < 58 for b in raw) / max(1, len(raw)),
+        "wide": sum(b >= 128 for b in raw) / max(1, len(raw)), "word_length": sum(map(len, words)) / n, "short_words": sum(len(w) <= 3 for w in words) / n,
+        "distinct_words": len(set(words)) / n, "commonest_word": max([words.count(w) for w in words], default=0) / n, "doubled_words": sum(a == b for a, b in pairs) / n,
+        "distinct_pairs": len(set(pairs)) / max(1, len(pairs)), "distinct_lines": len(set(x.lower() for x in lines)) / max(1, len(lines)), "longest_line": np.log1p(max([len(x) for x in lines], default=0)),
+    }
+
+
+def test_statistics_against_plain_python():
+    texts = ["", "one two two TWO 3", "a b\nc d\n\nA B\n", "ünï çöde 12", "x" * 500 + " y", " \n ", "end\n"]
+    got = quality.statistics(*make(texts))
+    for row, text in zip(got, texts):
+        own = dict(zip(quality.STATISTICS, row))
+        expect = plain_statistics(text)
+        assert {k: own[k] for k in expect} == pytest.approx(expect), text
+
+
 def test_units():
     letters, first, text, sentence = toxicity.units(*make(["An i d i o t. I-D-I-O-T!\nYes", "", " \n", "É é ** x"]))
     words = ["".join(chr(96 + c) if c < 27 else "~" for c in letters[a:b]) for a, b in zip(first, first[1:])]

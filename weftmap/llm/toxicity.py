@@ -11,16 +11,17 @@ of each side, which keeps it a kernel. With landmark units L a unit x maps to
 ``K(x, L) K(L, L)^(-1/2)`` (Nystrom); a linear SVM on that is a table of weights
 over triples of letters, so a unit is scored by looking up its triples.
 
-Training takes at most ``MAX_ROWS`` labelled rows per label and ``MAX_UNITS``
-units of each. Labels are those of texts, sentences are what is trained on: all
+Training takes at most ``MAX_ROWS`` labelled rows per label, and all of each: a
+row comes to the driver as its distinct units, how often each occurs and where
+first. Labels are those of texts, sentences are what is trained on: all
 sentences of a clean text are clean; a sentence of a toxic text is toxic where
 one of its units, or a piece of four letters of it, is one that toxic texts have
 far oftener than clean ones. Pieces come first; whole units, against a bar of
 their own, tell of texts where no piece does, as the pieces of a toxic word may
 be ordinary in its language. A toxic sentence stands for its worst unit, and for copies of
 it with a letter put in; clean ones for their units, of which those that the
-machine takes for bad train its next round. A text is scored, as a whole, by its
-worst unit and by how many are bad.
+machine takes for bad come first in its next round. A text is scored, as a whole,
+by its worst unit, by how many are bad, and by how many there are.
 """
 
 from __future__ import annotations
@@ -32,16 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmap.llm._bytes import U, Sums, chunks, mix, words
-from weftmap.llm._session import text_or_empty
+from weftmap.llm._bytes import Blocks, U, chunks, words
+from weftmap.llm._session import integer_id, text_or_empty
 from weftmap.llm.quality import fold, labelled, lowest
 
 MAX_ROWS = 2_000
-MAX_UNITS = 2_000
 LANDMARKS = 192
-POOL = 300  # units among which landmarks are looked for
+POOL = 300  # units of each side, the most telling ones, among which landmarks are looked for
 AT_ONCE = 1_000  # units whose kernels are computed together
-NEGATIVES = 12_000  # clean units that a round trains on
 PIECES = (4, 0)  # lengths of the pieces by which toxic sentences are told; 0: whole units
 SPAN = 7
 DECAY = 0.7
@@ -141,15 +140,14 @@ class Basis:
         out.kinds, out.rows = self.kinds, self.rows[which]
         return out
 
-    def kernel(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of units (rows) with the landmarks (columns), some units at a time."""
+    def kernels(self, letters: np.ndarray, first: np.ndarray):
+        """(first unit, kernel of some units (rows) with the landmarks (columns)), unit after unit."""
         place = np.full(ALPHABET**3, len(self.kinds), np.int32)
         place[self.kinds] = np.arange(len(self.kinds))
         columns = np.ascontiguousarray(self.rows.T)
-        out = np.zeros((len(first) - 1, len(self.rows)))
-        for low in range(0, len(out), AT_ONCE):
+        for low in range(0, len(first) - 1, AT_ONCE):
             own = first[low : low + AT_ONCE + 1]
-            part = out[low : low + AT_ONCE]
+            part = np.zeros((len(own) - 1, len(self.rows)))
             owner = np.repeat(np.arange(len(part)), np.diff(own))
             for at, triple, weight in _triples(letters[own[0] : own[-1]], own - own[0]):
                 known = place[triple]
@@ -158,7 +156,10 @@ class Basis:
                 edge = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, int)
                 if len(edge):
                     part[who[edge]] += np.add.reduceat(columns[known[met]], edge, axis=0) * weight
-        return out * _scales(first)[:, None]
+            yield low, part * _scales(own - own[0])[:, None]
+
+    def kernel(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((0, len(self.rows))), *[part for _, part in self.kernels(letters, first)]])
 
     def table(self, alpha: np.ndarray) -> np.ndarray:
         """A weight for every triple of letters from one for each landmark."""
@@ -168,26 +169,33 @@ class Basis:
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Linear SVM with squared hinge loss in the primal, by Newton steps; the last coefficient is the bias."""
-    z = np.column_stack((z, np.ones(len(z))))
+    """Linear SVM with squared hinge loss in the primal, by Newton steps; the last column of z is 1 and its coefficient the bias."""
     keep = np.full(z.shape[1], ridge)
     keep[-1] = 1e-6
     w = np.zeros(z.shape[1])
 
+    def slack(w):
+        return 1 - y * (z @ w.astype(z.dtype))
+
     def loss(w):
-        return keep @ w**2 / 2 + weight @ np.maximum(0, 1 - y * (z @ w)) ** 2
+        return keep @ w**2 / 2 + weight @ np.maximum(0, slack(w)) ** 2
 
+    now = loss(w)
     for _ in range(steps):
-        slack = 1 - y * (z @ w)
-        on = slack > 0
-        gradient = keep * w - 2 * z[on].T @ (weight[on] * y[on] * slack[on])
-        hessian = np.diag(keep) + 2 * (z[on] * weight[on, None]).T @ z[on]
+        short = slack(w)
+        gradient, hessian = keep * w, np.diag(keep)
+        for low in range(0, len(z), 1 << 14):  # some rows at a time: z is held once
+            part = slice(low, low + (1 << 14))
+            on = np.flatnonzero(short[part] > 0)
+            own = z[part][on].astype(float)
+            gradient -= 2 * own.T @ (weight[part][on] * y[part][on] * short[part][on])
+            hessian = hessian + 2 * (own * weight[part][on, None]).T @ own
         step = np.linalg.solve(hessian, gradient)
-        size, now = 1.0, loss(w)
-        while size > 1e-4 and loss(w - size * step) > now:
+        size = 1.0
+        while size > 1e-4 and (after := loss(w - size * step)) > now:
             size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-6:
+        w, now = w - size * step, after
+        if np.abs(size * step).max() < 1e-5:
             break
     return w
 
@@ -198,23 +206,25 @@ class Machine:
 
     table: np.ndarray
     bias: float
-    link: np.ndarray  # of (1, worst margin, log(1 + bad units))
+    link: np.ndarray  # of (1, worst margin, log(1 + bad units), log(1 + units))
 
     def margins(self, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
         return weigh(*_framed(letters, first), self.table) + self.bias
 
-    def score(self, worst: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        raw = self.link[0] + self.link[1] * worst + self.link[2] * np.log1p(bad)
+    def score(self, worst: np.ndarray, bad: np.ndarray, every: np.ndarray) -> np.ndarray:
+        raw = self.link[0] + self.link[1] * worst + self.link[2] * np.log1p(bad) + self.link[3] * np.log1p(every)
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
 FLOOR = -3.0  # the worst margin of a text without units, and the least that counts
 
 
-def summarise(margin: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+def summarise(margin: np.ndarray, owner: np.ndarray, texts: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its worst margin, how many units are bad, and how many there are."""
     worst = np.full(texts, FLOOR)
     np.maximum.at(worst, owner, margin)
-    return worst, np.bincount(owner, margin > 0, texts)[:texts] if len(owner) else np.zeros(texts)
+    times = np.ones(len(owner)) if times is None else times
+    return worst, np.bincount(owner, (margin > 0) * times, texts), np.bincount(owner, times, texts)
 
 
 class Scorer:
@@ -230,8 +240,8 @@ class Scorer:
         texts = len(offsets) - 1
         letters, first, owner, _ = units(data, offsets)
         if not len(owner):
-            return self._machine.score(np.full(texts, FLOOR), np.zeros(texts))
-        hashed = mix(Sums(letters).of(first[:-1], first[1:]))
+            return self._machine.score(np.full(texts, FLOOR), np.zeros(texts), np.zeros(texts))
+        hashed = Blocks(letters).of(first[:-1], first[1:])
         distinct, at, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         margin = np.empty(len(distinct))
         place = np.searchsorted(self._known, distinct)
@@ -254,23 +264,21 @@ class Scorer:
 
 @dataclass
 class Rows:
-    """Units of labelled texts: letters, where units begin, and for each unit its text and sentence."""
+    """Distinct units of labelled texts: letters, where units begin, and for each its text, its first sentence, how often it occurs, and the unit in front of it (its place here, or -1)."""
 
     letters: np.ndarray
     first: np.ndarray
     text: np.ndarray
     sentence: np.ndarray
+    times: np.ndarray
+    before: np.ndarray
     label: np.ndarray  # by text
 
 
 def _distinct(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Framed distinct units, and for each occurrence which it is."""
     letters, first = _framed(rows.letters, rows.first)
-    hashed = np.empty(len(first) - 1, U)
-    for low in range(0, len(hashed), 20_000):
-        own = first[low : low + 20_001]
-        hashed[low : low + 20_000] = mix(Sums(letters[own[0] : own[-1]].astype(np.uint8)).of(own[:-1] - own[0], own[1:] - own[0]))
-    _, at, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+    _, at, inverse = np.unique(Blocks(letters).of(first[:-1], first[1:]), return_index=True, return_inverse=True)
     return *_some(letters, first, at), inverse
 
 
@@ -296,7 +304,7 @@ def _suspicion(rows: Rows, letters: np.ndarray, first: np.ndarray, inverse: np.n
     less, so copies of one text do not add up.
     """
     n = len(first) - 1
-    before = np.concatenate(([0], inverse[:-1] + 1))
+    before = np.where(rows.before >= 0, inverse[rows.before] + 1, 0)
     n_bad, n_good = max(1, (rows.label > 0).sum()), max(1, (rows.label == 0).sum())
     for length in PIECES:
         unit, piece, kinds = _pieces(letters, first, length)
@@ -371,7 +379,7 @@ def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1
     """Fit the machine; with one label or no rows, every text gets about that label's score."""
     n_bad, n = int((rows.label > 0).sum()), len(rows.label)
     share = (n_bad + 0.5) / (n + 1)
-    nothing = Machine(np.zeros(ALPHABET**3), 0.0, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+    nothing = Machine(np.zeros(ALPHABET**3), 0.0, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
     if not 0 < n_bad < n or not len(rows.text):
         return nothing
     rng = np.random.default_rng(seed)
@@ -399,7 +407,7 @@ def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1
     clean_units = np.setdiff1d(np.unique(inverse[~in_bad]), pos)
     if not len(clean_units):
         return nothing
-    neg = clean_units if len(clean_units) <= NEGATIVES else rng.choice(clean_units, NEGATIVES, replace=False)
+    neg = rng.permutation(clean_units)
     extra = _inserted(letters, first, pos, rng)
     often = np.minimum(times[pos], 50).astype(float)
     machine = nothing
@@ -408,24 +416,28 @@ def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1
         basis = Basis(*_some(letters, first, np.array(chosen)))
         value, vector = np.linalg.eigh((basis.rows @ basis.rows.T).astype(float))
         root = vector * np.where(value > 1e-6 * value.max(), 1 / np.sqrt(np.maximum(value, 1e-12)), 0.0)
-        z = np.concatenate([basis.kernel(*_some(letters, first, u)) for u in (pos, neg)] + [basis.kernel(*extra)]) @ root
+        sides = (_some(letters, first, pos), _some(letters, first, neg), extra)
+        z, at = np.ones((2 * len(pos) + len(neg), len(chosen) + 1), np.float32), 0
+        for side in sides:
+            for low, part in basis.kernels(*side):
+                z[at + low : at + low + len(part), :-1] = part @ root
+            at += len(side[1]) - 1
         y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg)), np.ones(len(pos))))
         weight = np.concatenate((often, np.ones(len(neg)), often / 2))
         weight[y > 0] *= 0.5 * (y < 0).sum() / weight[y > 0].sum()
         w = _svm(z, y, weight)
-        machine = Machine(basis.table(root @ w[:-1]), float(w[-1]), np.zeros(3))
+        machine = Machine(basis.table(root @ w[:-1]), float(w[-1]), np.zeros(4))
         margin = weigh(letters, first, machine.table) + machine.bias
-        # the clean units that look worst join the others, in front of them: landmarks are taken from there
-        hard = clean_units[np.argsort(-margin[clean_units], kind="stable")[: NEGATIVES // 2]]
-        neg = np.concatenate((hard, np.setdiff1d(neg, hard)))
-    worst, bad = summarise(margin[inverse], rows.text, n)
-    machine.link = _logistic(np.column_stack((np.ones(n), worst, np.log1p(bad))), (rows.label > 0).astype(float))
+        # the clean units that look worst come first: landmarks are taken from there
+        neg = clean_units[np.argsort(-margin[clean_units], kind="stable")]
+    worst, bad, every = summarise(margin[inverse], rows.text, n, rows.times)
+    machine.link = _logistic(np.column_stack((np.ones(n), worst, np.log1p(bad), np.log1p(every))), (rows.label > 0).astype(float))
     return machine
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 60) -> np.ndarray:
-    """Logistic regression; the count of bad units is held back more than the worst margin, so that one clear insult counts."""
-    keep = ridge * len(y) * np.array([1e-4, 0.1, 1.0])
+    """Logistic regression on a text's worst margin, its bad units and its length: the first two never lower a score, length never raises it."""
+    keep = ridge * len(y) * np.array([1e-4, 0.1, 0.1, 0.1])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -435,57 +447,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 60
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return np.array([w[0], max(w[1], 0.0), max(w[2], 0.0)])
-
+    return np.array([w[0], max(w[1], 0.0), max(w[2], 0.0), min(w[3], 0.0)])
+
+
+def distinct_units(letters: np.ndarray, first: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text's units: the first occurrence of each that differs, in order; its sentence, its count, and which of them is in front of it (-1: none)."""
+    blocks = Blocks(letters)
+    _, at, inverse, times = np.unique(blocks.of(first[:-1], first[1:]), return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(at)
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at))
+    at = at[order]
+    return at, sentence[at], times[order], np.where(at > 0, place[inverse[at - 1]], -1)
+
+
+def _unit_rows(batches):
+    """Labelled texts -> their distinct units as bytes."""
+    for batch in batches:
+        out = []
+        for start, data, offsets in chunks(batch.column(2)):
+            letters, first, owner, sentence = units(data, offsets)
+            edge = np.searchsorted(owner, np.arange(len(offsets)))
+            for i in range(len(offsets) - 1):
+                a, b = edge[i], edge[i + 1]
+                own = first[a : b + 1]
+                at, said, times, before = distinct_units(letters, own, sentence[a:b] - (sentence[a] if b > a else 0))
+                size = own[at + 1] - own[at]
+                out.append((start + i, letters[_spans(own, at)].tobytes(), *[x.astype("<i4").tobytes() for x in (size, said, times, before)]))
+        at = pa.array([o[0] for o in out], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), *[pa.array([o[k] for o in out], pa.binary()) for k in range(1, 6)]],
+            names=["id", "label", "letters", "sizes", "sentences", "times", "before"],
+        )
 
-def _unit_rows(max_units: int):
-    """Labelled texts -> their units as bytes; of a text with very many, whole sentences by hash until the bound."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for start, data, offsets in chunks(batch.column(2)):
-                letters, first, owner, sentence = units(data, offsets)
-                edge = np.searchsorted(owner, np.arange(len(offsets)))
-                for i in range(len(offsets) - 1):
-                    a, b = edge[i], edge[i + 1]
-                    keep = np.arange(a, b)
-                    if b - a > max_units:
-                        order = np.argsort(mix(sentence[a:b].astype(U) - U(sentence[a])), kind="stable")
-                        keep = np.sort(a + order[:max_units])
-                    size = first[keep + 1] - first[keep]
-                    out.append((start + i, letters[_spans(first, keep)].tobytes(), size.astype("<u4").tobytes(), (sentence[keep] - (sentence[a] if b > a else 0)).astype("<u4").tobytes()))
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)]],
-                names=["id", "label", "letters", "sizes", "sentences"],
-            )
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_units: int = MAX_UNITS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Machine:
     """Train from labelled rows outside the held-out fold: of each label at most ``max_rows``, those whose ids hash lowest."""
     one = labelled(labels.filter(fold(F.col(id_col), folds) != held_out), label, id_col)
     some = [lowest(one.filter(F.col("_wm_label") == v), max_rows) for v in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))
-    texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    texts = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
     joined = texts.join(chosen, texts["id"] == chosen["_wm_id"]).select("id", F.col("_wm_label").alias("label"), "text")
-    schema = "id long, label int, letters binary, sizes binary, sentences binary"
-    got = joined.mapInArrow(_unit_rows(max_units), schema).orderBy("id", "letters").limit(2 * max_rows).collect()
-    sizes = [np.frombuffer(r.sizes, "<u4").astype(np.int64) for r in got]
-    flat = np.concatenate([np.zeros(0, np.int64), *sizes])
-    sentences, before = [np.zeros(0, np.int64)], 0
-    for r in got:
-        s = np.frombuffer(r.sentences, "<u4").astype(np.int64)
-        sentences.append(s + before)
-        before += int(s.max()) + 1 if len(s) else 0
+    schema = "id long, label int, letters binary, sizes binary, sentences binary, times binary, before binary"
+    got = joined.mapInArrow(_unit_rows, schema).orderBy("id", "letters").limit(2 * max_rows).collect()
+
+    def numbers(name: str) -> list[np.ndarray]:
+        return [np.frombuffer(r[name], "<i4") for r in got]
+
+    sizes, sentences, befores = numbers("sizes"), numbers("sentences"), numbers("before")
+    count, said = np.array([len(x) for x in sizes], np.int64), np.array([int(x.max()) + 1 if len(x) else 0 for x in sentences], np.int64)
+    units_before, sentences_before = (np.cumsum(x).astype(np.int32) - x.astype(np.int32) for x in (count, said))
+    nothing = np.zeros(0, np.int32)
     return train(
         Rows(
             np.frombuffer(b"".join(r.letters for r in got), np.uint8),
-            np.concatenate(([0], np.cumsum(flat))),
-            np.repeat(np.arange(len(got)), [len(s) for s in sizes]),
-            np.concatenate(sentences),
+            np.concatenate(([0], np.cumsum(np.concatenate([nothing, *sizes]), dtype=np.int64))),
+            np.repeat(np.arange(len(got), dtype=np.int32), count),
+            np.concatenate([nothing, *[x + n for x, n in zip(sentences, sentences_before, strict=True)]]),
+            np.concatenate([nothing, *numbers("times")]),
+            np.concatenate([nothing, *[np.where(x >= 0, x + n, -1) for x, n in zip(befores, units_before, strict=True)]]),
             np.array([r.label for r in got], int),
         )
     )
@@ -506,7 +526,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 scores = scorer(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(scores)), pa.array(scores)], names=["id", "score"])
 
-    texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    texts = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
     scored = texts.mapInArrow(run, "id long, score double")
     return scored.select(
         F.col("id").alias(id_col),
