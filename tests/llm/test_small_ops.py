@@ -188,6 +188,47 @@ def test_best_fit_keeps_its_bound():
             at += n
 
 
+def test_the_fullest_bin_closes_first():
+    """Pieces in the order they come, with three open bins, step by step."""
+    bins = packing.BestFit(limit=10, max_open=3)
+    assert [bins.place(n) for n in (4, 7, 8)] == [(0, 0), (1, 0), (2, 0)]  # free: 6, 3, 2
+    assert bins.place(9) == (3, 0)  # the bin with 2 free closes
+    assert bins.place(2) == (1, 7)  # not (2, 8)
+    assert bins.place(1) == (1, 9)  # least space remains in the bin with 1 free; it is full now
+    assert bins.place(1) == (3, 9)
+    rng, bins, most = random.Random(2), packing.BestFit(1024, packing.MAX_OPEN), 0
+    total = 0
+    for _ in range(20_000):
+        n = int(min(1024, rng.lognormvariate(5.5, 1.0))) or 1
+        bins.place(n)
+        total += n
+        most = max(most, bins._open)
+    assert most == packing.MAX_OPEN and bins.sequences < 1.03 * total / 1024
+
+
+def test_other_tokenizer_files_are_run_by_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, theirs = packing.Tokens(path), Tokenizer.from_file(path)
+    assert not own.plain and TOKENS().plain
+    for text in ("", "Some  Wörds, 12 of\tthem!", "<|im_end|>"):
+        assert own(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", [("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})])
+def test_a_changed_tokenizer_file_is_not_taken_for_plain(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.tokenizer_path())) | dict([change])
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    tokens, theirs = packing.Tokens(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not tokens.plain and tokens("Some Words HERE").tolist() == theirs.encode("Some Words HERE", add_special_tokens=False).ids
+
+
 def test_packing(spark, odd, nothing):
     from tokenizers import Tokenizer
 

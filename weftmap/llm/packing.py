@@ -4,15 +4,19 @@ A document becomes the ids of its text and a closing id. Ids beyond one
 sequence are cut off in whole sequences at the end, so at most the first piece
 is short; full pieces are sequences of their own and the short ones are packed.
 
-:class:`BestFit` is online best fit with bounded space: at most ``max_open``
-bins are open, found through a bitset in which bit f says that some open bin has
-f free. A piece goes where the least space remains; when a new bin would be one
-too many, the fullest is closed. It keeps a number per bin and no contents.
+:class:`BestFit` is online best fit with bounded space: pieces are placed one by
+one as they come; at most ``max_open`` bins are open, found through a bitset in
+which bit f says that some open bin has f free. A piece goes where the least
+space remains; when a new bin would be one too many, the fullest is closed. It
+keeps a number per bin and no contents.
 
 Distribution: each task packs its own partition; sequences never span
-partitions, and a partition leaves a few open bins at most partly filled. Within
-a block of pieces the longer come first, which best fit rewards. Blocks and the
-open bins bound a task's memory; nothing is shuffled.
+partitions, and a partition leaves a few open bins at most partly filled. A task
+holds one batch of texts and the numbers of its open bins; nothing is shuffled.
+
+Ids are those of the ``tokenizers`` file. For a file of the plain byte-level kind
+(:func:`plain`) they are made by ``tiktoken`` from the same vocabulary; any other
+file is run by ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from weftmap.llm._session import text_or_empty
 
 LIMIT = 1024
 CLOSING = 2
-MAX_OPEN = 32_768
-BLOCK = 32_768
+MAX_OPEN = 64
+ROWS = 16_384  # rows of a result's batch
 SPECIAL = "<|endoftext|>"
 #: The split pattern of byte-level BPE vocabularies of this family, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -110,6 +114,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def plain(spec: dict) -> bool:
+    """Does a file say nothing but a byte-level vocabulary, its usual split pattern and special strings?
+
+    That is: texts are taken as they are, no piece has a prefix, suffix or
+    stand-in, special strings match anywhere, and ids follow the order of the merges.
+    """
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    special = {x["content"] for x in spec.get("added_tokens", [])}
+    bare = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    whole = not any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (bare and whole and model.get("type") == "BPE" and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))):
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return False
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    singles = [i for piece, i in model["vocab"].items() if len(piece) == 1]
+    return None not in merged and merged == sorted(merged) and max(singles) < merged[0] and len(model["vocab"]) - len(special & set(model["vocab"])) == len(merged) + len(singles)
+
+
 _ENCODERS: dict[str, object] = {}  # of this process, by digest of the vocabulary
 
 
@@ -117,20 +140,31 @@ class Tokens:
     """Turns texts into ids; it carries the vocabulary to the executors."""
 
     def __init__(self, path: str):
-        self._pieces, self._special = vocabulary(path)
-        self._key = hashlib.sha256(repr((self._pieces, self._special)).encode()).hexdigest()
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        self._key = hashlib.sha256(text.encode()).hexdigest()
+        self.plain = plain(json.loads(text))
+        self._text = None if self.plain else text
+        self._pieces, self._special = vocabulary(path) if self.plain else ([], {})
 
     def _encoder(self):
         if self._key not in _ENCODERS:
-            import tiktoken
+            if self.plain:
+                import tiktoken
+
+                ranks = {p: i for i, p in enumerate(self._pieces) if p}
+                _ENCODERS[self._key] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self._special)
+            else:
+                from tokenizers import Tokenizer
 
-            ranks = {p: i for i, p in enumerate(self._pieces) if p}
-            _ENCODERS[self._key] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self._special)
+                _ENCODERS[self._key] = Tokenizer.from_str(self._text)
         return _ENCODERS[self._key]
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text; special strings in it are their ids."""
         encoder = self._encoder()
+        if not self.plain:
+            return np.array(encoder.encode(text, add_special_tokens=False).ids, np.uint32)
 
         def ids(part: str) -> np.ndarray:
             return encoder.encode_to_numpy(part, allowed_special="all", disallowed_special=())
@@ -159,44 +193,31 @@ def _schema(id_type: str, with_ids: bool) -> str:
     return f"id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
 
-def _pack(tokens: Tokens, limit: int, closing: int, max_open: int, block: int, with_ids: bool, id_type: pa.DataType):
+def _pack(tokens: Tokens, limit: int, closing: int, max_open: int, with_ids: bool, id_type: pa.DataType):
     import zlib
 
-    def flush(rows: list, bins: BestFit, base: int):
-        placed = [None] * len(rows)
-        for i in sorted(range(len(rows)), key=lambda i: -rows[i][3]):  # stable: ties in order of arrival
-            placed[i] = bins.place(rows[i][3])
-        columns = [
-            pa.array([r[0] for r in rows], id_type),
-            pa.array([r[1] for r in rows], pa.int32()),
-            pa.array([r[2] for r in rows], pa.int64()),
-            pa.array([r[3] for r in rows], pa.int64()),
-            pa.array([r[4] for r in rows], pa.int64()),
-            pa.array([base + s for s, _ in placed], pa.int64()),
-            pa.array([o for _, o in placed], pa.int64()),
-        ]
-        names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-        if with_ids:
-            columns.append(pa.array([r[5] for r in rows], pa.list_(pa.int32())))
-            names.append("ids")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    kinds = [id_type, pa.int32(), *[pa.int64()] * 5, *([pa.list_(pa.int32())] if with_ids else [])]
+    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"][: len(kinds)]
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     def run(batches):
         bins = BestFit(limit, max_open)
         base = TaskContext.get().partitionId() << 40
         rows: list = []
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for key, text in zip(keys, texts, strict=True):
+        for got in batches:
+            for key, text in zip(got.column(0).to_pylist(), got.column(1), strict=True):
                 ids = np.append(tokens(text.as_py() or ""), np.uint32(closing)).astype("<u4", copy=False)
                 for k, (at, n) in enumerate(cuts(len(ids), limit)):
                     part = ids[at : at + n]
-                    rows.append((key, k, at, n, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
-                if len(rows) >= (block if not with_ids else block // 16):
-                    yield flush(rows, bins, base)
+                    sequence, offset = bins.place(n)
+                    rows.append((key, k, at, n, zlib.crc32(part.tobytes()), base + sequence, offset, part.astype(np.int32) if with_ids else None))
+                if len(rows) >= (ROWS if not with_ids else ROWS // 16):
+                    yield batch(rows)
                     rows = []
         if rows:
-            yield flush(rows, bins, base)
+            yield batch(rows)
 
     return run
 
@@ -209,7 +230,6 @@ def pack(
     limit: int = LIMIT,
     closing: int = CLOSING,
     max_open: int = MAX_OPEN,
-    block: int = BLOCK,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and its ids if asked.
@@ -221,7 +241,7 @@ def pack(
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
-    run = _pack(Tokens(tokenizer_path), limit, closing, max_open, block, with_ids, to_arrow_type(kind))
+    run = _pack(Tokens(tokenizer_path), limit, closing, max_open, with_ids, to_arrow_type(kind))
     rows = docs.select(docs[id_col].alias("id"), text_or_empty(docs[text_col]).alias("text")).mapInArrow(run, _schema(kind.simpleString(), with_ids))
     return rows.withColumnRenamed("id", id_col)
 
