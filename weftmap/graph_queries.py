@@ -847,7 +847,7 @@ def _(spark, sf):
 @query("profile_long_values", "SELECT doc_id, CASE WHEN strlen(text) <= 64 THEN text END AS shown FROM documents")
 def _(spark, sf):
     """A long value is left out of a profile, never cut."""
-    return table(spark, sf, "documents").select("doc_id", P.shown(F.col("text")).alias("shown"))
+    return table(spark, sf, "documents").select("doc_id", P._short(F.col("text")).alias("shown"))
 
 
 @query("profile_inclusions", values(("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("nation", "n_regionkey", "nation", "n_nationkey"), ("region", "r_regionkey", "nation", "n_nationkey"), names='source, "column", referenced, key'))

@@ -92,6 +92,7 @@ class EdgeTable:
     single: bool
     rows: DataFrame  # src, dst as dense ids
     dropped: int = 0
+    count: int = 0
 
     @property
     def name(self) -> str:
@@ -177,8 +178,8 @@ def collapse(rows: DataFrame, properties: list[Property]) -> DataFrame:
     return grouped.agg(*outs) if outs else rows.select("subject").distinct()
 
 
-def conflict(collapsed: DataFrame, properties: list[Property]) -> Column:
-    """Does some single-valued property have two values?"""
+def conflict_of(properties: list[Property]) -> Column:
+    """Of collapsed rows: does some single-valued property have two values?"""
     found = F.lit(False)
     for i, p in enumerate(properties):
         if p.single:
@@ -186,17 +187,27 @@ def conflict(collapsed: DataFrame, properties: list[Property]) -> Column:
     return found
 
 
-def number(rows: DataFrame, key: str, first: int = 0, name: str = "dense_id") -> DataFrame:
-    """Rows with consecutive numbers from ``first`` in the order of ``key``, nulls last."""
+def numbered(rows: DataFrame, key: str, told: dict[str, Column] | None = None, first: int = 0, name: str = "dense_id") -> tuple[DataFrame, list]:
+    """Rows with consecutive numbers from ``first`` in the order of ``key``, nulls last; and a row per partition with its count ``n`` and what was to be ``told``.
+
+    The rows are written once, sorted by ranges. One aggregation counts each
+    range; where the ranges begin is a constant of as many numbers.
+    """
     n = partitions(rows.sparkSession)
     placed = rows.repartitionByRange(n, F.col(key).asc_nulls_last()).sortWithinPartitions(F.col(key).asc_nulls_last())
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     held = cut(placed.withColumns({"_wm_part": F.spark_partition_id(), "_wm_at": within}), "numbered")
-    counts = held.groupBy("_wm_part").agg(F.count(F.lit(1)).alias("_wm_n"))
-    before = F.coalesce(F.sum("_wm_n").over(Window.orderBy("_wm_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_wm_part", before.alias("_wm_before"))  # a row per partition
-    joined = held.join(F.broadcast(offsets), "_wm_part")
-    return joined.select((F.col("_wm_before") + F.col("_wm_at") + F.lit(first)).cast("long").alias(name), *[F.col(f"`{c}`") for c in rows.columns])
+    parts = sorted(held.groupBy("_wm_part").agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (told or {}).items()]).collect())
+    begins, before = [0] * (1 + max((r["_wm_part"] for r in parts), default=0)), first
+    for r in parts:
+        begins[r["_wm_part"]] = before
+        before += r["n"]
+    at = F.get(F.lit(begins).cast("array<bigint>"), F.col("_wm_part")) + F.col("_wm_at")
+    return held.select(at.cast("long").alias(name), *[F.col(f"`{c}`") for c in rows.columns]), parts
+
+
+def number(rows: DataFrame, key: str, first: int = 0, name: str = "dense_id") -> DataFrame:
+    return numbered(rows, key, None, first, name)[0]
 
 
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|\\^`]*$"
@@ -205,32 +216,32 @@ ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|\\^`]*$"
 def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexTable:
     """Merge, check and number the vertices of one type."""
     rows, properties = merged(parts)
+    identities = [F.col(f"p{i}") for i, p in enumerate(properties) if p.single and p.type == types.URI]
+    bad = F.col("subject").isNull() | ~F.col("subject").rlike(ABSOLUTE)
+    asked = {
+        "which": F.min(F.when(bad, F.coalesce("subject", F.lit("null")))),
+        "two": F.min(F.when(conflict_of(properties), F.col("subject"))),
+        "no_iri": F.min(F.coalesce(*[F.when(~c.rlike(ABSOLUTE), c) for c in identities], F.lit(None).cast("string"))),
+    }
     try:
         rows = cut(rows, "rows") if any(not p.single for p in properties) else rows
-        everything = number(collapse(rows, properties), "subject", first)  # written once, then checked and read from there
+        everything, told = numbered(collapse(rows, properties), "subject", asked, first)  # written once, then checked and read from there
     except Exception as e:
         if (refusal := refused(e)) is not None:
             raise refusal from e
         raise
-    identities = [F.col(f"p{i}") for i, p in enumerate(properties) if p.single and p.type == types.URI]
-    bad = F.col("subject").isNull() | ~F.col("subject").rlike(ABSOLUTE)
-    told = everything.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(bad).alias("bad"),
-        F.min(F.when(bad, F.coalesce("subject", F.lit("null")))).alias("which"),
-        F.min(F.when(conflict(everything, properties), F.col("subject"))).alias("two"),
-        F.min(F.coalesce(*[F.when(~c.rlike(ABSOLUTE), c) for c in identities], F.lit(None).cast("string"))).alias("no_iri"),
-    ).first()
-    if told.bad:
-        raise Refusal("write/invalid-subject", f"`{told.which}` is not an absolute IRI, and it is the subject of a {shape.label}")
-    if told.two is not None:
-        raise Refusal("write/too-many-values", f"{told.two} has two values for a property of {shape.label} that takes one")
-    if told.no_iri is not None:
-        raise Refusal("write/invalid-iri", f"a property of {shape.label} holds `{told.no_iri}`, which is not an absolute IRI")
-    if first + told.n >= MAX_VERTICES:
+    which, two, no_iri = (min((r[k] for r in told if r[k] is not None), default=None) for k in asked)
+    count = sum(r["n"] for r in told)
+    if which is not None:
+        raise Refusal("write/invalid-subject", f"`{which}` is not an absolute IRI, and it is the subject of a {shape.label}")
+    if two is not None:
+        raise Refusal("write/too-many-values", f"{two} has two values for a property of {shape.label} that takes one")
+    if no_iri is not None:
+        raise Refusal("write/invalid-iri", f"a property of {shape.label} holds `{no_iri}`, which is not an absolute IRI")
+    if first + count >= MAX_VERTICES:
         raise Refusal("run/too-large", "a graph has less than 2^32 vertices")
-    numbered = everything.select("dense_id", "subject", *[F.col(f"p{i}").alias(p.name) for i, p in enumerate(properties) if p.single])
-    ids = numbered.select("dense_id", F.col("subject").alias("_wm_subject"))
+    table = everything.select("dense_id", "subject", *[F.col(f"p{i}").alias(p.name) for i, p in enumerate(properties) if p.single])
+    ids = table.select("dense_id", F.col("subject").alias("_wm_subject"))
     multi = {}
     for i, p in enumerate(properties):
         if p.single:
@@ -245,7 +256,7 @@ def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexT
             multi[p.name] = owned.select(F.col("dense_id").alias("src"), "value").distinct()
             if p.item == types.URI and (wrong := multi[p.name].filter(~F.col("value").rlike(ABSOLUTE)).agg(F.min("value").alias("v")).first().v) is not None:
                 raise Refusal("write/invalid-iri", f"`{p.name}` of {shape.label} holds `{wrong}`, which is not an absolute IRI")
-    return VertexTable(shape, properties, numbered, multi, first, told.n, tuple(sorted({s for part in parts for s in part.sources})))
+    return VertexTable(shape, properties, table, multi, first, count, tuple(sorted({s for part in parts for s in part.sources})))
 
 
 def shifted(v: VertexTable, first: int) -> VertexTable:
@@ -272,14 +283,19 @@ def check_tags(values: DataFrame, p: Property) -> None:
         raise Refusal("write/language-not-allowed", f"`{p.name}` is not given in `{wrong[0]}`")
 
 
-def resolve(parts: list[EdgePart], sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, resolved): pairs of identities, and those of them that find both vertices, as (src, dst)."""
+def candidates(parts: list[EdgePart]) -> DataFrame:
+    """(s, t): the identities of both ends of every edge that some row asks for."""
     pairs = None
     for part in parts:
         target = F.explode(part.target_iri.cast("array<string>")) if part.many else part.target_iri.cast("string")
         own = part.df.select(part.source_iri.cast("string").alias("s"), target.alias("t"))
         pairs = own if pairs is None else pairs.union(own)
-    pairs = pairs.filter(F.col("t").isNotNull())
+    return pairs.filter(F.col("t").isNotNull())
+
+
+def resolve(parts: list[EdgePart], sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, resolved): pairs of identities, and those of them that find both vertices, as (src, dst)."""
+    pairs = candidates(parts)
     a = sources.select(F.col("subject").alias("s"), F.col("dense_id").alias("src"))
     b = targets.select(F.col("subject").alias("t"), F.col("dense_id").alias("dst"))
     return pairs, pairs.join(a, "s").join(b, "t").select("src", "dst")
@@ -287,35 +303,45 @@ def resolve(parts: list[EdgePart], sources: DataFrame, targets: DataFrame) -> tu
 
 def build_edges(label: str, predicate: str, single: bool, parts: list[EdgePart], source: VertexTable, target: VertexTable) -> EdgeTable:
     """Resolve, count what is dropped, make a set, and check that a single-valued edge has one target."""
-    pairs, _ = resolve(parts, source.rows, target.rows)
-    pairs = pairs.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
+    pairs = candidates(parts)
     a = source.rows.select(F.col("subject").alias("s"), F.col("dense_id").alias("src"))
     b = target.rows.select(F.col("subject").alias("t"), F.col("dense_id").alias("dst"))
-    placed = cut(pairs.join(a, "s", "left").join(b, "t", "left").select("src", "dst", "n"), "edges")
+    met = pairs.join(a, "s", "left").join(b, "t", "left")
+    placed = cut(met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "edges")
     whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
-    read, found = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(whole, F.col("n"))), F.lit(0))).first()
-    rows = placed.filter(whole).select("src", "dst")
-    if single and rows.groupBy("src").count().filter("count > 1").limit(1).count():
+    sums = [F.sum("n").alias("read"), F.sum(F.when(whole, F.col("n"))).alias("found"), F.count_if(whole).alias("edges")]
+    if single:  # pairs are distinct: two of one source are two targets
+        by = placed.groupBy("src").agg(*sums).agg(F.sum("read").alias("read"), F.sum("found").alias("found"), F.sum("edges").alias("edges"), F.max("edges").alias("most"))
+    else:
+        by = placed.agg(*sums, F.lit(1).alias("most"))
+    told = by.first()
+    if single and (told.most or 0) > 1:
         raise Refusal("write/too-many-values", f"a vertex has two targets for `{label}`, which takes one")
-    return EdgeTable(source.label, label, target.label, predicate, single, rows, read - found)
+    rows = placed.filter(whole).select("src", "dst")
+    return EdgeTable(source.label, label, target.label, predicate, single, rows, (told.read or 0) - (told.found or 0), told.edges or 0)
 
 
 def offsets(edges: DataFrame, vertices: int) -> DataFrame:
     """Where the edges of each source begin in the sorted edges: vertices + 1 rows (vertex, offset).
 
-    A running sum over vertices by ranges: sums within a range, then the ranges' totals in front of it.
+    A running sum over vertices by ranges of them: one aggregation counts the
+    edges of each range (a row per range comes to the driver), another those of
+    each vertex, both combined before they are dealt; a window runs within a range.
     """
     spark = edges.sparkSession
     span = max(1, -(-(vertices + 1) // partitions(spark)))
-    degree = edges.groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("n"))
-    every = spark.range(vertices + 1).select(F.col("id").alias("vertex")).join(degree, "vertex", "left")
-    every = every.select("vertex", F.coalesce("n", F.lit(0)).alias("n"), F.floor(F.col("vertex") / span).alias("range"))
+    place = F.floor(F.col("vertex") / span)
+    per_range = {r["range"]: r["n"] for r in edges.groupBy(F.floor(F.col("src") / span).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    begins, before = [], 0
+    for i in range(vertices // span + 1):
+        begins.append(before)
+        before += per_range.get(i, 0)
+    every = spark.range(vertices + 1).select(F.col("id").alias("vertex"), F.lit(0).cast("long").alias("n"))
+    every = every.union(edges.select(F.col("src").alias("vertex"), F.lit(1).cast("long"))).groupBy("vertex").agg(F.sum("n").alias("n"))
+    every = every.withColumn("range", place.cast("int"))
     within = Window.partitionBy("range").orderBy("vertex").rowsBetween(Window.unboundedPreceding, -1)
-    totals = every.groupBy("range").agg(F.sum("n").alias("total"))  # a row per partition
-    before = F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = F.broadcast(totals.select("range", before.alias("before")))
-    local = every.withColumn("local", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return local.join(totals, "range").select("vertex", (F.col("before") + F.col("local")).cast("long").alias("offset"))
+    local = F.coalesce(F.sum("n").over(within), F.lit(0))
+    return every.select("vertex", (F.get(F.lit(begins).cast("array<bigint>"), F.col("range")) + local).cast("long").alias("offset"))
 
 
 def duplicate_subject(vertices: list[VertexTable]) -> None:

@@ -1,8 +1,11 @@
 """Profiles of sources: what their columns are, how many values they have, what identifies a row, what refers to what.
 
-All counts of a table are one aggregation over it. Commonest values are asked
+A table is read once for its distinct values: a row per cell, narrow, which
+combines by column and value before it is dealt, so a wide table costs its cells
+and no more. What is left, (column, value, n), is written by column; counts,
+commonest values and inclusions are read from there. Commonest values are asked
 only of columns in which values repeat; inclusions only of columns of one type,
-onto columns that identify rows.
+onto columns that identify rows, all of them by one join on the values.
 """
 
 from __future__ import annotations
@@ -11,9 +14,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftmap import types
-from weftmap.sources.tables import first_rows
+from weftmap.session import cut
+from weftmap.sources.tables import first_rows, quoted
 
 TOP_VALUES = 10
 LONGEST_VALUE = 64
@@ -66,10 +71,6 @@ class Profile:
         return next(s for s in self.sources if s.name == name)
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def text(c: Column, ty) -> Column:
     return c.cast("string") if ty != types.LANG else c["value"]
 
@@ -78,27 +79,50 @@ def describe(df: DataFrame) -> list[tuple[str, object]]:
     return [(f.name, types.of_spark(f.dataType)) for f in df.schema]
 
 
+def _comparable(c: Column, f) -> Column:
+    return F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c
+
+
+def _written(c: Column, f) -> Column:
+    """A cell as text that differs where the value does."""
+    if isinstance(f.dataType, T.BinaryType):
+        return F.hex(c)
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        return F.when(c == 0, F.lit(0).cast(f.dataType)).otherwise(c).cast("string")
+    return _comparable(c, f).cast("string")
+
+
+def values(df: DataFrame) -> DataFrame:
+    """(column, value, n): how often each value stands in each column, by the column's place; null is a value."""
+    cells = [F.struct(F.lit(i).alias("column"), _written(F.col(quoted(f.name)), f).alias("value")) for i, f in enumerate(df.schema)]
+    return df.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_column(held: DataFrame) -> DataFrame:
+    """(column, distinct, present) of :func:`values`."""
+    known = F.col("value").isNotNull()
+    return held.groupBy("column").agg(F.count_if(known).alias("distinct"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("present"))
+
+
 def counts(df: DataFrame) -> DataFrame:
     """One row: ``rows``, and for column i ``distinct_i``, ``present_i``, ``low_i`` and ``high_i`` (the last two as text)."""
+    bounds, outs = _bounds(df), ["rows"]
+    told = _by_column(values(df))
+    each = [F.coalesce(F.max(F.when(F.col("column") == i, F.col(k))), F.lit(0)).alias(f"{k}_{i}") for i in range(len(df.columns)) for k in ("distinct", "present")]
+    for i in range(len(df.columns)):
+        outs += [f"distinct_{i}", f"present_{i}", f"low_{i}", f"high_{i}"]
+    return bounds.withColumn("_wm_one", F.lit(1)).join(told.agg(*each).withColumn("_wm_one", F.lit(1)), "_wm_one").select(outs)
+
+
+def _bounds(df: DataFrame) -> DataFrame:
+    """One row: ``rows``, ``low_i`` and ``high_i``."""
     outs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(df.schema):
-        c = F.col(quoted(f.name))
-        comparable = _comparable(c, f)
-        outs += [
-            F.count_distinct(comparable).alias(f"distinct_{i}"),
-            F.count(c).alias(f"present_{i}"),
-            F.min(comparable).cast("string").alias(f"low_{i}"),
-            F.max(comparable).cast("string").alias(f"high_{i}"),
-        ]
+        comparable = _comparable(F.col(quoted(f.name)), f)
+        outs += [F.min(comparable).cast("string").alias(f"low_{i}"), F.max(comparable).cast("string").alias(f"high_{i}")]
     return df.agg(*outs)
 
 
-def _comparable(c: Column, f) -> Column:
-    from pyspark.sql import types as T
-
-    return F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c
-
-
 def top_values(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
     """The commonest values that occur twice at least: (value, n), the most frequent first, ties by value."""
     c = F.col(quoted(column))
@@ -119,7 +143,7 @@ def sample(df: DataFrame, n: int = SHOWN) -> DataFrame:
     return first_rows(df.select([_comparable(F.col(quoted(f.name)), f).cast("string").alias(f.name) for f in df.schema]), n)
 
 
-def shown(c: Column) -> Column:
+def _short(c: Column) -> Column:
     """A text that is long is left out, never cut."""
     return F.when(F.octet_length(c) <= LONGEST_VALUE, c)
 
@@ -129,32 +153,61 @@ def _shown(value: str | None) -> str | None:
     return value if value is None or len(value.encode()) <= LONGEST_VALUE else None
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """:func:`values`, written by column."""
+    return cut(values(df), "values", by="column")
+
+
+def _inclusions(found: list[SourceProfile], held: dict[str, DataFrame], keys: dict[tuple[str, str], DataFrame]) -> list[Inclusion]:
+    """Which columns hold only values of which keys: of all pairs of one type at once, by a join on type and value."""
+    pairs = {}
+    for a in found:
+        for c in a.columns:
+            for b in found:
+                for key in b.keys:
+                    if c.type in KEYABLE and c.present and (a.name, c.name) != (b.name, key) and b.column(key).type == c.type and c.distinct <= b.rows:
+                        pairs[len(pairs)] = (a, c, b, key)
+    if not pairs:
+        return []
+    dependents = {(a.name, c.name): (a, c) for a, c, _, _ in pairs.values()}
+    referenced = {(b.name, key): b for _, _, b, key in pairs.values()}
+
+    def cells(df: DataFrame, n: int, ty) -> DataFrame:
+        return df.filter("value IS NOT NULL").select(F.lit(n).alias("who"), F.lit(str(ty)).alias("type"), "value")
+
+    sides = []
+    for side in (
+        [cells(held[a.name].filter(F.col("column") == a.columns.index(c)), n, c.type) for n, (a, c) in enumerate(dependents.values())],
+        [cells(keys[k], n, b.column(k[1]).type) for n, (k, b) in enumerate(referenced.items())],
+    ):
+        whole = side[0]
+        for part in side[1:]:
+            whole = whole.union(part)
+        sides.append(whole)
+    mine, theirs = sides[0].withColumnRenamed("who", "a"), sides[1].withColumnRenamed("who", "b")
+    met = {(r.a, r.b): r.n for r in mine.join(theirs, ["type", "value"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per pair of columns
+    a_at, b_at = {k: n for n, k in enumerate(dependents)}, {k: n for n, k in enumerate(referenced)}
+    return [Inclusion(a.name, c.name, b.name, key) for a, c, b, key in pairs.values() if met.get((a_at[a.name, c.name], b_at[b.name, key]), 0) == c.distinct]
+
+
 def profile(sources: dict[str, DataFrame], depth: int = 0, shown: int = SHOWN) -> Profile:
     """Profile some tables; ``depth``: rows read of each, 0 for all. Referenced keys are always read whole."""
-    found = []
-    read = {name: first_rows(df, depth) if depth else df for name, df in sources.items()}
-    for name, df in read.items():
-        first = sample(df, shown) if shown else None
-        first = first and first.select([globals()["shown"](F.col(quoted(c))).alias(c) for c in first.columns])
-        told = counts(df).first()
+    found, held, keys = [], {}, {}
+    for name, whole in sources.items():
+        df = first_rows(whole, depth) if depth else whole
+        first = sample(df, shown).select([_short(F.col(quoted(c))).alias(c) for c in df.columns]) if shown else None
+        bounds, held[name] = _bounds(df).first(), _held(df)
+        told = {r["column"]: r for r in _by_column(held[name]).collect()}
         columns = []
         for i, (c, ty) in enumerate(describe(df)):
-            column = ColumnProfile(c, ty, told[f"distinct_{i}"], told[f"present_{i}"], _shown(told[f"low_{i}"]), _shown(told[f"high_{i}"]))
+            distinct, present = (told[i].distinct, told[i].present) if i in told else (0, 0)
+            column = ColumnProfile(c, ty, distinct, present, _shown(bounds[f"low_{i}"]), _shown(bounds[f"high_{i}"]))
             if column.distinct < column.present:
-                column.top = [(r.value, r.n) for r in top_values(df, c).collect() if _shown(r.value) is not None]
+                common = held[name].filter((F.col("column") == i) & F.col("value").isNotNull() & (F.col("n") >= 2)).orderBy(F.col("n").desc(), "value").limit(TOP_VALUES)
+                column.top = [(r.value, r.n) for r in common.collect() if _shown(r.value) is not None]
             columns.append(column)
-        rows = [list(r) for r in first.collect()] if first is not None else []
-        found.append(SourceProfile(name, told["rows"], columns, rows))
-    inclusions = []
-    for a in found:
-        for c in a.columns:
-            if c.type not in KEYABLE or not c.present:
-                continue
-            for b in found:
-                for key in b.keys:
-                    if (a.name, c.name) == (b.name, key) or b.column(key).type != c.type or c.distinct > b.rows:
-                        continue
-                    told = inclusion(read[a.name], c.name, sources[b.name], key).first()
-                    if told.distinct_values and not told.missing:
-                        inclusions.append(Inclusion(a.name, c.name, b.name, key))
-    return Profile(found, inclusions)
+        found.append(SourceProfile(name, bounds["rows"], columns, [list(r) for r in first.collect()] if first is not None else []))
+        for key in found[-1].keys:
+            at = [c.name for c in columns].index(key)
+            keys[name, key] = values(whole.select(F.col(quoted(key)))) if depth else held[name].filter(F.col("column") == at)
+    return Profile(found, _inclusions(found, held, keys))

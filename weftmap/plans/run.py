@@ -92,7 +92,6 @@ def build(program: Program) -> G.Graph:
         for table in pool.map(vertices, program.classes()):
             out.vertices.append(G.shifted(table, first))
             first += table.count
-    G.duplicate_subject(out.vertices)
     keys: list[tuple[str, str, str]] = []
     for m in program.mappings:
         for c, target, _ in m.edges:
@@ -113,10 +112,32 @@ def build(program: Program) -> G.Graph:
         return G.build_edges(label, constraint.predicate, constraint.single, parts, by_class[source], by_class[target])
 
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        out.edges = list(pool.map(edges, [k for k in keys if k[2] in by_class]))
+        twice = pool.submit(G.duplicate_subject, _may_meet(program, out.vertices))
+        made = [pool.submit(edges, k) for k in keys if k[2] in by_class]
+        twice.result()
+        out.edges = [e.result() for e in made]
     return out
 
 
+def _may_meet(program: Program, vertices: list[G.VertexTable]) -> list[G.VertexTable]:
+    """The types whose subjects may be those of another type: subjects that begin with different texts are not."""
+
+    def begins(v: G.VertexTable) -> set[str]:
+        found = set()
+        for m in program.mappings:
+            if m.shape.iri == v.shape.iri:
+                first = m.identity.parts[:1] if isinstance(m.identity, X.Concat) else (m.identity.value,) if isinstance(m.identity, X.Lit) else ()
+                found.add(first[0] if first and isinstance(first[0], str) else "")
+        return found
+
+    own = {v.label: begins(v) for v in vertices}
+
+    def meet(a: str, b: str) -> bool:
+        return a.startswith(b) or b.startswith(a)
+
+    return [v for v in vertices if any(meet(a, b) for w in vertices if w.label != v.label for a in own[v.label] for b in own[w.label])]
+
+
 def _sequence(c, got) -> G.Property:
     own = G.Property.of(c, got[1])
     return G.Property(own.name, types.sequence(own.type), own.predicate, False, own.least, own.languages, own.datatype)

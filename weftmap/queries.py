@@ -376,7 +376,7 @@ def _(spark, sf):
     _, _, parts = _parts(spark, sf, "Nation")
     rows, properties = G.merged(parts)
     collapsed = G.collapse(rows, properties)
-    return collapsed.select("subject", F.col("p0").alias("label"), G.conflict(collapsed, properties).alias("two"))
+    return collapsed.select("subject", F.col("p0").alias("label"), G.conflict_of(properties).alias("two"))
 
 
 @query(
@@ -389,7 +389,7 @@ def _(spark, sf):
     p = G.Property("quantity", "Float", BASE + "quantity", True)
     rows, properties = G.merged([G.VertexPart(r.df, subject, {"quantity": (p, r.column("L", "l_quantity"))})])
     collapsed = G.collapse(rows, properties)
-    return collapsed.filter(G.conflict(collapsed, properties)).select("subject")
+    return collapsed.filter(G.conflict_of(properties)).select("subject")
 
 
 @query(

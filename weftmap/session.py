@@ -69,11 +69,11 @@ def fresh_path(spark: SparkSession, name: str, suffix: str = "") -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it survives lost executors and is computed once."""
+def cut(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it survives lost executors and is computed once. ``by``: a column to lay its files out by."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

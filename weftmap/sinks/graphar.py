@@ -108,6 +108,8 @@ def _count(n: int) -> bytes:
 def offset_rows(edges: DataFrame, vertices: int, chunk: int) -> DataFrame:
     """(part, _graphArOffset): for each chunk of source vertices where the edges of each begin in that part, and where the last end."""
     starts = G.offsets(edges.select(F.col("_graphArSrcIndex").alias("src")), vertices)
+    if vertices <= chunk:
+        return starts.select(F.lit(0).cast("long").alias("part"), F.col("offset").alias("_graphArOffset"))
     v = F.col("vertex")
     own = F.when(v < vertices, F.array(F.floor(v / chunk))).otherwise(F.array().cast("array<bigint>"))
     ends = F.when((v > 0) & ((v % chunk == 0) | (v == vertices)), F.array(F.floor((v - 1) / chunk))).otherwise(F.array().cast("array<bigint>"))
@@ -136,16 +138,18 @@ def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None
         parts = max(1, -(-n // chunk))
         place = f"{into}/edge/{e.name}/ordered_by_source"
         rows = edge_rows(graph, e).withColumn("part", F.floor(F.col("_graphArSrcIndex") / chunk))
-        put_numbered(rows, "part", parts, ["_graphArSrcIndex", "_graphArDstIndex"], lambda i: f"{place}/adj_list/part{i}/chunk0", f"{place}/adj_list")
-        counts = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a number per part
+        lists = beside.submit(put_numbered, rows, "part", parts, ["_graphArSrcIndex", "_graphArDstIndex"], lambda i: f"{place}/adj_list/part{i}/chunk0", f"{place}/adj_list")
+        starts = beside.submit(lambda: put_numbered(offset_rows(rows, n, chunk), "part", parts, ["_graphArOffset"], lambda i: f"{place}/offset/chunk{i}", f"{place}/offset"))
+        counts = {0: e.count} if parts == 1 else {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a number per part
         for i in range(parts):
             put(spark, f"{place}/edge_count{i}", _count(counts.get(i, 0)))
-        put_numbered(offset_rows(rows, n, chunk), "part", parts, ["_graphArOffset"], lambda i: f"{place}/offset/chunk{i}", f"{place}/offset")
+        lists.result()
+        starts.result()
         put(spark, f"{place}/vertex_count", _count(n))
         put(spark, f"{into}/{e.name}.edge.yml", edge_info(e, max([1, *counts.values()]), chunk, chunks[e.target]))
 
     # tables do not depend on each other: a few are written at a time
-    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool, ThreadPoolExecutor(2 * TABLES_AT_ONCE) as beside:
         for done in [pool.submit(put_edges, e) for e in graph.edges] + [pool.submit(put_vertices, v) for v in graph.vertices]:
             done.result()
     put(spark, f"{into}/mapping.ttl", rml.turtle(graph))
