@@ -66,6 +66,12 @@ def test_odd_rows(odd, nothing):
     assert ngram_join.keep_one(nothing).count() == 0
 
 
+def test_as_many_partitions_as_the_shingles_need(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ngram_join, "POSTINGS", 700)
+    docs = table(spark, sf_dir, "documents").limit(60)
+    assert run(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     expect = brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -6,7 +6,8 @@ class. A class with n shingles can link only to one that occurs on at least
 T = ceil(percent * n / 100) of the inverted lists of its shingles.
 
 1. Shingles are hashed, and sent with their class to partitions of the hash: an
-   inverted index in which a task holds whole lists. Lists of one class cannot
+   inverted index in which a task holds whole lists, and as many partitions as
+   the number of shingles asks for. Lists of one class cannot
    make a link and are dropped there. What is left comes back to the classes:
    a class with fewer than T shared shingles is out for good.
 2. DivideSkip. A class's lists are ordered by length (then by hash); all but
@@ -57,6 +58,7 @@ MERGE = 3
 ROUNDS = 1
 BEST = 4
 BLOCK = 1 << 18  # shingles in a block
+POSTINGS = 4_000_000  # shingles that a partition of the index is made for
 SALTS = 8
 BUFFER = 2_000_000  # postings that a task holds before it sends them on
 LOW48 = U((1 << 48) - 1)
@@ -550,7 +552,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbers, others are refused.
     """
     spark = docs.sparkSession
-    parts = min(partitions(spark), (1 << 16) - 1)
     own = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
     for seed in range(SALTS):
         base = cut(own.mapInArrow(_classes(width, seed), "id long, n_shingles long, class long, check long"), "classes")
@@ -558,6 +559,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
     else:
         raise ValueError("two sets of shingles share a class under every salt")
+    # a task holds one partition of the index: there are as many as the shingles need
+    parts = min(max(partitions(spark), -(-(base.agg(F.sum("n_shingles")).first()[0] or 0) // POSTINGS)), (1 << 16) - 1)
     blobs = own.select("text").mapInArrow(_postings(width, parts, seed), "part int, blob binary").repartitionById(parts, "part")
     shared = blobs.mapInArrow(_shared(parts), "part int, blob binary").repartitionById(parts, "part")
     active = cut(shared.mapInArrow(_active(percent, merge), ACTIVE), "active")
