@@ -14,7 +14,7 @@ from weftmap.llm._session import table
 def brute(rows, length):
     """(id, text) rows -> sorted (id, bytes, removed, spans, kept)."""
     seen, out = set(), []
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, suffix_dedup._tag((r[1] or "").encode())))
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, suffix_dedup._tag((r[1] or "").encode(), r[0] is not None)))
     for doc, text in order:
         raw = (text or "").encode()
         gone = np.zeros(len(raw) + 2, np.int8)
@@ -72,6 +72,34 @@ def test_mixed(spark, hot):
     assert run(docs, hot=hot) == brute(rows, 100)
 
 
+def test_as_many_partitions_as_the_texts_need(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", 1500)
+    rows = mixed_rows(random.Random(5), 40)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows, 100)
+
+
+def test_rows_without_ids_and_ids_of_any_size(spark):
+    """Rows are told apart by their texts: no id is taken for null, and null ids with texts whose first hashes agree keep their texts."""
+    rng, last = random.Random(6), (1 << 63) - 1
+    own = ["".join(rng.choices("abcdefgh ", k=248)) for _ in range(6)]
+    rows = [(last, own[0]), (-last - 1, own[0]), (None, own[1]), (None, own[2]), (None, own[1][:150] + own[3]), (0, own[2]), (last, own[4]), (last, own[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs) == brute(rows, 100)
+    with pytest.raises(TypeError):
+        suffix_dedup.suffix_dedup(docs.withColumn("doc_id", docs["text"]))
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_dedup(docs, length=400, gram=40)
+
+
+def test_two_texts_are_never_one_row():
+    """Texts of one id that share a tag are found out where the texts are cut, not taken for copies."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([5, 5]), pa.array([suffix_dedup.TEXT] * 2), pa.array([b"x" * 200, b"y" * 200])], names=["doc", "tag", "kind", "blob"])
+    with pytest.raises(ValueError, match="share the digest"):
+        list(suffix_dedup._finish(100)([batch]))
+
+
 def test_short_windows(spark):
     rows = mixed_rows(random.Random(9), 40, "ab")
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -55,6 +55,7 @@ FETCHED = 1 << 22  # bytes of pieces that a task holds before it sends them on
 SLICE = 1 << 18  # bytes whose shards are merged at a time
 SHARD = 1 << 16
 SUB = 8
+PART = 1 << 26  # bytes of text that a partition is made for
 HOT = 20_000
 LOW48 = U((1 << 48) - 1)
 _END = 0xFF  # never part of UTF-8
@@ -596,8 +597,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if length % STEP or not 4 <= gram <= length or length - gram > 254:
         raise ValueError("length must be a multiple of 4, at least gram, and at most 254 more than it")
-    parts = min(partitions(docs.sparkSession), (1 << 16) - 1)
     own = docs.select(integer_id(docs, id_col).alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(max(partitions(docs.sparkSession), -(-size // PART)), (1 << 16) - 1)
     routed = own.mapInArrow(_cut_up(parts * SUB, length, gram), ROUTED)
     routed = routed.repartitionById(parts, F.floor(F.col("part") / SUB).cast("int")).sortWithinPartitions("part")
     folded = cut(routed.mapInArrow(_fold(length, hot), ROUTED), "folded")
