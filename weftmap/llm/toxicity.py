@@ -40,6 +40,7 @@ from weftmap.llm.quality import fold, labelled, lowest
 MAX_ROWS = 2_000
 LANDMARKS = 192
 POOL = 300  # units of each side, the most telling ones, among which landmarks are looked for
+LOOKED_AT = 20_000  # clean units of a round that only looks for landmarks; the last round trains on all
 AT_ONCE = 1_000  # units whose kernels are computed together
 PIECES = (4, 0)  # lengths of the pieces by which toxic sentences are told; 0: whole units
 SPAN = 7
@@ -411,7 +412,11 @@ def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1
     extra = _inserted(letters, first, pos, rng)
     often = np.minimum(times[pos], 50).astype(float)
     machine = nothing
-    for _ in range(rounds):
+    everything = neg
+    for turn in range(rounds):
+        neg = everything
+        if turn < rounds - 1 and len(neg) > LOOKED_AT:
+            neg = np.concatenate((neg[: LOOKED_AT // 2], rng.choice(neg[LOOKED_AT // 2 :], LOOKED_AT // 2, replace=False)))
         chosen = _landmarks(letters, first, pos, landmarks // 2) + _landmarks(letters, first, neg, landmarks // 2)
         basis = Basis(*_some(letters, first, np.array(chosen)))
         value, vector = np.linalg.eigh((basis.rows @ basis.rows.T).astype(float))
@@ -429,7 +434,7 @@ def train(rows: Rows, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1
         machine = Machine(basis.table(root @ w[:-1]), float(w[-1]), np.zeros(4))
         margin = weigh(letters, first, machine.table) + machine.bias
         # the clean units that look worst come first: landmarks are taken from there
-        neg = clean_units[np.argsort(-margin[clean_units], kind="stable")]
+        everything = clean_units[np.argsort(-margin[clean_units], kind="stable")]
     worst, bad, every = summarise(margin[inverse], rows.text, n, rows.times)
     machine.link = _logistic(np.column_stack((np.ones(n), worst, np.log1p(bad), np.log1p(every))), (rows.label > 0).astype(float))
     return machine
