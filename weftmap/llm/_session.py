@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark removes the shuffle files of a query at its end where this is set; without it they lie until the driver's JVM collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     What was computed survives the loss of an executor and is not computed
-    twice. The JVM is then asked to collect garbage, so that Spark's cleaner
-    removes the shuffle files behind the written table.
+    twice; the shuffle files behind the written table go with the query.
     """
     spark = df.sparkSession
-    written = session.cut(df, name)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return written
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return session.cut(df, name)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def integer_id(docs: DataFrame, id_col: str) -> Column:
