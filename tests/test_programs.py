@@ -9,6 +9,7 @@ from programs import PROGRAMS, WRONG
 from weftmap.errors import Refusal
 from weftmap.plans.run import check, load, run
 from weftmap.sinks import graphar, ntriples
+from weftmap.sources import tables
 
 
 def lay_out(folder, program):
@@ -269,6 +270,51 @@ def test_values_that_have_no_place_are_refused(spark, tmp_path):
         assert e.value.code == "write/invalid-iri"
 
 
+ASSERTED = """
+@iri("https://m.example/voc#M")
+type M
+    @iri("https://m.example/voc#kind")
+    @assert(str.length(kind) >= 3 and kind.starts_with("k"))
+    @severity(info)
+    kind: String
+    @iri("https://m.example/voc#rank")
+    @assert(rank > 0 and not (rank == 13), severity = {severity})
+    rank: Integer
+Row := io.csv("m.csv")
+Ms : M from Row
+    @subject = "https://m.example/{{Row.id}}"
+    kind     = {kind}
+    rank     = {rank}
+"""
+
+
+@pytest.mark.parametrize("kind, rank, severity, code", [
+    ('"kind"', "7", "violation", None), ('"ki"', "7", "violation", "shape/assert-failed"), ('"other"', "7", "violation", "shape/assert-failed"), ('"kind"', "2 - 5", "violation", "shape/assert-failed"),
+    ('"kind"', "13", "violation", "shape/assert-failed"), ('"kind"', "13", "warning", None), ("Row.name", "Row.id", "violation", None), ('"kind"', "7", "fatal", "name/unknown-severity"),
+])
+def test_assertions_on_constants(spark, tmp_path, kind, rank, severity, code):
+    (tmp_path / "m.csv").write_text("id,name\n1,x\n")
+    text = ASSERTED.format(kind=kind, rank=rank, severity=severity)
+    assert [r.code for r in check(spark, text, base=str(tmp_path))] == ([code] if code else [])
+    out = text.replace("rank > 0", "kind > 0")
+    assert [r.code for r in check(spark, out, base=str(tmp_path))] == ["shape/out-of-scope"]
+
+
+def test_a_run_that_does_not_compile_tells_why(spark, tmp_path):
+    program = PROGRAMS["library"]
+    text = program["program"].replace("Row.name\n", "Row.nmae\n").replace("fee      = Lent.fee", "fee      = Lent.cost")
+    with pytest.raises(Refusal) as e:
+        run(spark, text, **lay_out(tmp_path, program))
+    assert e.value.code == "run/does-not-compile" and [r.code for r in e.value.related] == ["name/unknown-field"] * 2
+
+
+def test_bytes_that_are_no_utf8_are_refused(spark, tmp_path):
+    (tmp_path / "m.csv").write_bytes(b"id,name\n1,caf\xe9\n")
+    with pytest.raises(Refusal) as e:
+        tables.read_csv(spark, str(tmp_path / "m.csv"))
+    assert e.value.code == "source/not-utf8"
+
+
 def test_ntriples_are_written(spark, tmp_path):
     reads = lay_out(tmp_path, PROGRAMS["harbour"])
     into = str(tmp_path / "nt")

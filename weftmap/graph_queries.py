@@ -778,6 +778,28 @@ _refusal_query(
 )
 
 
+_ASSERTED = f"""
+@iri("{BASE}T")
+type T
+    @iri("{BASE}kind") @assert(str.length(kind) >= 3 and kind.starts_with("k")) kind: String
+R := io.parquet("region.parquet")
+Ts : T from R
+    @subject = "{BASE}t/{{R.r_regionkey}}"
+    kind     = KIND
+"""
+_KINDS = [('"kind"', "accepted"), ('"ki"', "shape/assert-failed"), ('"other"', "shape/assert-failed"), ("R.r_name", "accepted")]
+
+
+@query("refuse_assertions", values(*_KINDS, names="text, code"))
+def _(spark, sf):
+    """Constants that an assertion of their field does not hold of; what is read from rows is not decided."""
+    found = []
+    for text, _ in _KINDS:
+        told = check(spark, _ASSERTED.replace("KIND", text), frames=frames(spark, sf))
+        found.append((text, told[0].code if told else "accepted"))
+    return rows(spark, found, "text string, code string")
+
+
 _DATA = f"""
 @iri("{BASE}T")
 type T

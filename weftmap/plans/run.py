@@ -176,7 +176,11 @@ def run(spark: SparkSession, text: str, into: str | None = None, form: str = "gr
 
     if chunk_size is not None and chunk_size < 1:
         raise Refusal("run/invalid-option", "a chunk holds one vertex at least")
-    program = load(spark, text, **reads)
+    try:
+        program = load(spark, text, **reads)
+    except Refusal as e:
+        found = tuple(check(spark, text, **reads)) or (e,)
+        raise Refusal("run/does-not-compile", f"nothing was run: {found[0]}", related=found) from e
     graph = build(program)
     held = None
     if form == "files":

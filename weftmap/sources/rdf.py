@@ -15,6 +15,7 @@ from weftmap.errors import Refusal
 from weftmap.sources.location import check_exists
 from weftmap.sources.turtle import RDF, parse
 
+TURTLE_AT_MOST = 1 << 30
 TRIPLES = "s string, p string, o string, tag string"
 
 
@@ -49,6 +50,9 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o, tag) of a document: IRIs and lexical forms as text."""
     check_exists(spark, path)
     if not path.lower().rstrip("/").endswith(".nt"):
+        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+        if largest > TURTLE_AT_MOST:
+            raise Refusal("source/too-large", f"`{path}`: a Turtle file is parsed whole, and one is {largest} bytes; N-Triples is read by line")
         return spark.read.text(path, wholetext=True).mapInPandas(_file, TRIPLES)
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
     bad = lines.filter(~F.col("value").rlike(_LINE)).limit(1).collect()

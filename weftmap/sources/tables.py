@@ -84,7 +84,10 @@ def _survey(spark: SparkSession, path: str, delimiter: str) -> tuple[list[tuple[
     left = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), f'(^|{sep})"[^"]*+"(?={sep}|$)', "$1")
     broken = F.when(F.col("value").contains('"'), left.contains('"')).otherwise(False)
     head = F.when((F.col("block") == 0) & (F.col("value") != ""), F.struct("at", "value"))
-    told = lines.groupBy("file").agg(F.min(head).alias("head"), F.max(broken).alias("broken")).collect()
+    told = lines.groupBy("file").agg(F.min(head).alias("head"), F.max(broken).alias("broken"), F.max(~F.is_valid_utf8("value")).alias("other")).collect()
+    for r in told:
+        if r.other:
+            raise Refusal("source/not-utf8", f"`{unquote(r.file)}` is not UTF-8")
     alike: dict[str, list[str]] = {}
     for r in sorted(told, key=lambda r: r.file):
         if r["head"] is not None:
