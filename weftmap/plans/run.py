@@ -14,7 +14,7 @@ from weftmap.operators import graph as G
 from weftmap.operators.algebra import Source
 from weftmap.operators.relation import Relation, Slot
 from weftmap.plans.compile import Host, Program, compile_program, diagnose
-from weftmap.session import filesystem, fresh_path, scratch
+from weftmap.session import beside, filesystem, fresh_path, scratch
 from weftmap.sources import rdf, tables
 from weftmap.sources.location import read_text, resolve
 
@@ -89,7 +89,7 @@ def build(program: Program) -> G.Graph:
     # types do not depend on each other but for where their numbers begin
     first = 0
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        for table in pool.map(vertices, program.classes()):
+        for table in [t.result() for t in [beside(pool, vertices, shape) for shape in program.classes()]]:
             out.vertices.append(G.shifted(table, first))
             first += table.count
     keys: list[tuple[str, str, str]] = []
@@ -112,8 +112,8 @@ def build(program: Program) -> G.Graph:
         return G.build_edges(label, constraint.predicate, constraint.single, parts, by_class[source], by_class[target])
 
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        twice = pool.submit(G.duplicate_subject, _may_meet(program, out.vertices))
-        made = [pool.submit(edges, k) for k in keys if k[2] in by_class]
+        twice = beside(pool, G.duplicate_subject, _may_meet(program, out.vertices))
+        made = [beside(pool, edges, k) for k in keys if k[2] in by_class]
         twice.result()
         out.edges = [e.result() for e in made]
     return out

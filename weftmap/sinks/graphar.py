@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftmap import types
 from weftmap.errors import Refusal
 from weftmap.operators import graph as G
+from weftmap.session import beside
 from weftmap.sinks import rml
 from weftmap.sinks.files import put, put_numbered
 
@@ -138,8 +139,8 @@ def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None
         parts = max(1, -(-n // chunk))
         place = f"{into}/edge/{e.name}/ordered_by_source"
         rows = edge_rows(graph, e).withColumn("part", F.floor(F.col("_graphArSrcIndex") / chunk))
-        lists = beside.submit(put_numbered, rows, "part", parts, ["_graphArSrcIndex", "_graphArDstIndex"], lambda i: f"{place}/adj_list/part{i}/chunk0", f"{place}/adj_list")
-        starts = beside.submit(lambda: put_numbered(offset_rows(rows, n, chunk), "part", parts, ["_graphArOffset"], lambda i: f"{place}/offset/chunk{i}", f"{place}/offset"))
+        lists = beside(files, put_numbered, rows, "part", parts, ["_graphArSrcIndex", "_graphArDstIndex"], lambda i: f"{place}/adj_list/part{i}/chunk0", f"{place}/adj_list")
+        starts = beside(files, lambda: put_numbered(offset_rows(rows, n, chunk), "part", parts, ["_graphArOffset"], lambda i: f"{place}/offset/chunk{i}", f"{place}/offset"))
         counts = {0: e.count} if parts == 1 else {r.part: r["count"] for r in rows.groupBy("part").count().collect()}  # a number per part
         for i in range(parts):
             put(spark, f"{place}/edge_count{i}", _count(counts.get(i, 0)))
@@ -149,8 +150,8 @@ def write(spark: SparkSession, graph: G.Graph, into: str, chunk_size: int | None
         put(spark, f"{into}/{e.name}.edge.yml", edge_info(e, max([1, *counts.values()]), chunk, chunks[e.target]))
 
     # tables do not depend on each other: a few are written at a time
-    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool, ThreadPoolExecutor(2 * TABLES_AT_ONCE) as beside:
-        for done in [pool.submit(put_edges, e) for e in graph.edges] + [pool.submit(put_vertices, v) for v in graph.vertices]:
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool, ThreadPoolExecutor(2 * TABLES_AT_ONCE) as files:
+        for done in [beside(pool, put_edges, e) for e in graph.edges] + [beside(pool, put_vertices, v) for v in graph.vertices]:
             done.result()
     put(spark, f"{into}/mapping.ttl", rml.turtle(graph))
     lines = [f"name: {NAME}"]
