@@ -57,7 +57,7 @@ PERCENT = 75
 MERGE = 3
 ROUNDS = 1
 BEST = 4
-BLOCK = 1 << 18  # shingles in a block
+BLOCK = 1 << 17  # shingles in a block
 POSTINGS = 4_000_000  # shingles that a partition of the index is made for
 SALTS = 8
 BUFFER = 2_000_000  # postings that a task holds before it sends them on
