@@ -10,6 +10,7 @@ onto columns that identify rows, all of them by one join on the values.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftmap import types
-from weftmap.session import cut
+from weftmap.session import beside, cut
 from weftmap.sources.tables import first_rows, quoted
 
 TOP_VALUES = 10
 LONGEST_VALUE = 64
 SHOWN = 5
+COLUMNS_AT_ONCE = 4
 #: Types whose values can identify a row.
 KEYABLE = {types.STRING, types.INTEGER, types.YEAR, types.DATE, types.DATETIME, types.HOUR, types.URI}
 
@@ -201,11 +203,17 @@ def profile(sources: dict[str, DataFrame], depth: int = 0, shown: int = SHOWN) -
         columns = []
         for i, (c, ty) in enumerate(describe(df)):
             distinct, present = (told[i].distinct, told[i].present) if i in told else (0, 0)
-            column = ColumnProfile(c, ty, distinct, present, _shown(bounds[f"low_{i}"]), _shown(bounds[f"high_{i}"]))
-            if column.distinct < column.present:
-                common = held[name].filter((F.col("column") == i) & F.col("value").isNotNull() & (F.col("n") >= 2)).orderBy(F.col("n").desc(), "value").limit(TOP_VALUES)
-                column.top = [(r.value, r.n) for r in common.collect() if _shown(r.value) is not None]
-            columns.append(column)
+            columns.append(ColumnProfile(c, ty, distinct, present, _shown(bounds[f"low_{i}"]), _shown(bounds[f"high_{i}"])))
+
+        def common(i: int, some: DataFrame = held[name]) -> list[tuple[str, int]]:
+            repeated = some.filter((F.col("column") == i) & F.col("value").isNotNull() & (F.col("n") >= 2))
+            return [(r.value, r.n) for r in repeated.orderBy(F.col("n").desc(), "value").limit(TOP_VALUES).collect() if _shown(r.value) is not None]
+
+        # columns do not depend on each other: a few are asked at a time
+        with ThreadPoolExecutor(COLUMNS_AT_ONCE) as pool:
+            asked = [(c, beside(pool, common, i)) for i, c in enumerate(columns) if c.distinct < c.present]
+            for c, told_top in asked:
+                c.top = told_top.result()
         found.append(SourceProfile(name, bounds["rows"], columns, [list(r) for r in first.collect()] if first is not None else []))
         for key in found[-1].keys:
             at = [c.name for c in columns].index(key)
