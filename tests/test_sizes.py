@@ -58,3 +58,9 @@ def test_files_of_many_numbers_are_sorted_and_may_be_empty(spark, tmp_path):
             held = pq.ParquetFile(f"{tmp_path}/at/file{i}").read()
             assert held.column_names == ["v"]
             assert held.column("v").to_pylist() == ([] if i % 2 else sorted(999 - k for k in range(i // 2, 1000, 50)))
+
+
+@pytest.mark.parametrize("name", ["gar_counts", "gar_offsets", "gar_edges", "gar_vertices"])
+def test_graphs_of_several_parts(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(graphar, "CHUNK", 40)
+    assert same_as_sql(spark, sf_dir, name)

@@ -6,6 +6,8 @@ says the same from the driver's tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +122,13 @@ def adjacency(spark: SparkSession, into: str, edge: str) -> DataFrame:
     return spark.read.parquet(f"{into}/edge/{edge}/ordered_by_source/adj_list/part*/chunk*")
 
 
+def counted(spark: SparkSession, path: str) -> list[int]:
+    """The numbers in the count files of a path, in order of the parts that end their names."""
+    read = spark.read.format("binaryFile").load(path).select("path", "content").collect()
+    numbers = {int("0" + re.search("[0-9]*$", r.path)[0]): int.from_bytes(r.content, "little") for r in read}
+    return [numbers[i] for i in sorted(numbers)]
+
+
 _RICH = f"""
 WITH c AS (SELECT '{BASE}customer/' || c_custkey AS s, c_custkey, c_name, c_mktsegment, c_acctbal, c_nationkey,
   row_number() OVER (ORDER BY '{BASE}customer/' || c_custkey) - 1 AS i FROM customer WHERE c_acctbal > 0),
@@ -155,8 +164,15 @@ def _(spark, sf):
 
 @query("gar_offsets", _RICH + "SELECT (SELECT count(*) FROM c WHERE c.i < v.i) AS starts FROM (SELECT i FROM c UNION ALL SELECT count(*) FROM c) v")
 def _(spark, sf):
-    into, _ = written(spark, sf)
-    return spark.read.parquet(f"{into}/edge/Customer_nation_Nation/ordered_by_source/offset/chunk*").toDF("starts")
+    """Offsets begin anew in each part of the sources, and the last of a part is the first of the next."""
+    into, graph = written(spark, sf)
+    place = f"{into}/edge/Customer_nation_Nation/ordered_by_source"
+    counts = counted(spark, f"{place}/edge_count*")
+    begins, chunk = [sum(counts[:i]) for i in range(len(counts))], min(graph.vertex("Customer").count, graphar.CHUNK)
+    part = F.regexp_extract("_metadata.file_path", "chunk([0-9]+)$", 1).cast("int")
+    read = spark.read.parquet(f"{place}/offset/chunk*").select(F.col("_graphArOffset").alias("own"), part.alias("part"), F.col("_metadata.row_index").alias("at"))
+    kept = read.filter((F.col("at") < chunk) | (F.col("part") == len(counts) - 1))
+    return kept.select((F.get(F.lit(begins).cast("array<bigint>"), F.col("part")) + F.col("own")).alias("starts"))
 
 
 @query("gar_chunks", _RICH + "SELECT i // 200 AS chunk, count(*) AS n, min(i) AS least, max(i) AS greatest FROM c GROUP BY 1")
@@ -185,9 +201,8 @@ def _(spark, sf):
 def _(spark, sf):
     into, _ = written(spark, sf)
     held = {name: f"{into}/vertex/{name}/vertex_count" for name in ("Customer", "Nation", "Order")}
-    held["placed_by"] = f"{into}/edge/Order_placed_by_Customer/ordered_by_source/edge_count0"
-    read = {name: spark.read.format("binaryFile").load(path).first().content for name, path in held.items()}
-    return rows(spark, ((name, int.from_bytes(data, "little")) for name, data in read.items()), "name string, n long")
+    held["placed_by"] = f"{into}/edge/Order_placed_by_Customer/ordered_by_source/edge_count*"  # a file for each part of the sources
+    return rows(spark, ((name, sum(counted(spark, path))) for name, path in held.items()), "name string, n long")
 
 
 _YAML = (
