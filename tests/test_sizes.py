@@ -64,3 +64,12 @@ def test_files_of_many_numbers_are_sorted_and_may_be_empty(spark, tmp_path):
 def test_graphs_of_several_parts(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(graphar, "CHUNK", 40)
     assert same_as_sql(spark, sf_dir, name)
+
+
+def test_lines_are_written_by_many_tasks(spark):
+    df = spark.range(100, numPartitions=4)
+    path = Q._lines(spark, df, "many", "k|t", [F.col("id"), F.concat(F.lit("t"), F.col("id"))])
+    assert len(glob.glob(f"{path}/part-*")) >= 4
+    assert sorted(tuple(r) for r in tables.read_csv(spark, path, "|").collect()) == [(i, f"t{i}") for i in range(100)]
+    none = tables.read_csv(spark, Q._lines(spark, df.filter("id < 0"), "none", "k|t", [F.col("id"), F.col("id")]), "|")
+    assert none.columns == ["k", "t"] and none.count() == 0
