@@ -73,3 +73,10 @@ def test_lines_are_written_by_many_tasks(spark):
     assert sorted(tuple(r) for r in tables.read_csv(spark, path, "|").collect()) == [(i, f"t{i}") for i in range(100)]
     none = tables.read_csv(spark, Q._lines(spark, df.filter("id < 0"), "none", "k|t", [F.col("id"), F.col("id")]), "|")
     assert none.columns == ["k", "t"] and none.count() == 0
+
+
+def test_first_rows_of_files_that_many_tasks_sort(spark, sf_dir, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(Q, "fresh_path", lambda *a, _own=Q.fresh_path: wrote.append(_own(*a)) or wrote[-1])
+    assert same_as_sql(spark, sf_dir, "src_limit_files")
+    assert len([f for f in glob.glob(f"{wrote[0]}/p2/part-*") if pq.ParquetFile(f).metadata.num_rows]) > 1

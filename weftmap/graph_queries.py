@@ -21,7 +21,7 @@ from weftmap.plans import profile as P
 from weftmap.plans.compile import compile_program, expression
 from weftmap.plans.run import Reader, build, check, run
 from weftmap.queries import BASE, cols, outs, query, relation, table
-from weftmap.session import fresh_path
+from weftmap.session import fresh_path, partitions
 from weftmap.sinks import graphar, ntriples
 from weftmap.sinks.files import put
 from weftmap.sources import rdf, shapes, tables
@@ -521,13 +521,18 @@ def _(spark, sf):
     return tables.read_csv(spark, f"{folder}/*")
 
 
+def _in_order(df: DataFrame, key: str) -> DataFrame:
+    """Rows sorted by a key over all partitions, so over the names of the files that they are written to; a task sorts its range."""
+    return df.repartitionByRange(partitions(df.sparkSession), key).sortWithinPartitions(key)
+
+
 @query("src_limit_files", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000")
 def _(spark, sf):
     """The first rows over several files in their order, however Spark packs them: the first file holds one row."""
     folder, o = fresh_path(spark, "files"), table(spark, sf, "orders").select("o_orderkey")
     cut = o.agg(F.min("o_orderkey").alias("a"), F.percentile_approx("o_orderkey", 0.05).alias("b")).first()
     for i, some in enumerate((o.filter(F.col("o_orderkey") <= cut.a), o.filter((F.col("o_orderkey") > cut.a) & (F.col("o_orderkey") <= cut.b)), o.filter(F.col("o_orderkey") > cut.b))):
-        some.coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(f"{folder}/p{i}")
+        _in_order(some, "o_orderkey").write.parquet(f"{folder}/p{i}")
     return tables.first_rows(tables.read_parquet(spark, f"{folder}/p*"), 1000)
 
 
