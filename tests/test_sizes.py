@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pyarrow.parquet as pq
@@ -15,6 +16,7 @@ from weftmap.operators import graph as G
 from weftmap.sinks import graphar
 from weftmap.sinks.files import put_numbered
 from weftmap.sources import tables
+from weftmap.sources.shapes import Shape
 
 
 def same_as_sql(spark, sf_dir, name):
@@ -80,3 +82,40 @@ def test_first_rows_of_files_that_many_tasks_sort(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Q, "fresh_path", lambda *a, _own=Q.fresh_path: wrote.append(_own(*a)) or wrote[-1])
     assert same_as_sql(spark, sf_dir, "src_limit_files")
     assert len([f for f in glob.glob(f"{wrote[0]}/p2/part-*") if pq.ParquetFile(f).metadata.num_rows]) > 1
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_identities_are_sorted_by_digests_the_smaller_end_first(spark, sf_dir, monkeypatch, unbroadcast):
+    plans = {}
+
+    def held(df, name="table", *more, _own=G.cut):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return _own(df, name, *more)
+
+    monkeypatch.setattr(G, "cut", held)
+    assert same_as_sql(spark, sf_dir, "edge_merge_mappings")
+    keys = [re.sub("#[0-9]+L?", "", k) for k in re.findall(r"SortMergeJoin \[(.*?)\], \[", plans["edges"])]
+    assert keys == ["xxhash64(s, 42)", "xxhash64(t, 42)"]  # the last is run first: fewer suppliers than orders
+
+
+@pytest.mark.parametrize("name", ["edge_merge_mappings", "edge_resolve", "edge_multi_target", "edge_dangling_dropped", "gar_multi_values"])
+def test_digests_that_meet_join_no_other_identities(spark, sf_dir, monkeypatch, unbroadcast, name):
+    monkeypatch.setattr(F, "xxhash64", lambda c, _own=F.xxhash64: F.pmod(_own(c), F.lit(3)))
+    assert same_as_sql(spark, sf_dir, name)
+
+
+def test_edges_of_vertices_with_the_greatest_numbers(spark):
+    ids = {"a": 0, "b": (1 << 31) - 1, "c": 1 << 31, "d": (1 << 32) - 1}
+    table = G.VertexTable(Shape("https://e.example/voc#V", ()), [], spark.createDataFrame([(i, s) for s, i in ids.items()], "dense_id long, subject string"), {}, 0, len(ids))
+    asked = [(s, t) for s in ids for t in ids] * 2 + [("a", "none"), ("none", "a"), ("none", "none"), (None, "a"), ("a", None)]
+    part = G.EdgePart(spark.createDataFrame(asked, "s string, t string"), F.col("s"), F.col("t"))
+    e = G.build_edges("to", "https://e.example/voc#to", False, [part], table, table)
+    assert sorted(tuple(r) for r in e.rows.collect()) == sorted((a, b) for a in ids.values() for b in ids.values())
+    assert (e.count, e.dropped) == (16, 4)

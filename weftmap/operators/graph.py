@@ -241,13 +241,12 @@ def build_vertices(shape: Shape, parts: list[VertexPart], first: int) -> VertexT
     if first + count >= MAX_VERTICES:
         raise Refusal("run/too-large", "a graph has less than 2^32 vertices")
     table = everything.select("dense_id", "subject", *[F.col(f"p{i}").alias(p.name) for i, p in enumerate(properties) if p.single])
-    ids = table.select("dense_id", F.col("subject").alias("_wm_subject"))
     multi = {}
     for i, p in enumerate(properties):
         if p.single:
             continue
         values = rows.select("subject", F.explode(f"p{i}").alias("value")).filter(F.col("value").isNotNull())
-        owned = values.join(ids, values["subject"] == ids["_wm_subject"])
+        owned = located(values, "subject", table, "dense_id")
         if p.item == types.LANG:
             pairs = owned.select(F.col("dense_id").alias("src"), F.col("value.value").alias("value"), F.lower(F.col("value.lang")).alias("lang"))
             multi[p.name] = pairs.filter(F.col("value").isNotNull()).distinct()
@@ -293,21 +292,37 @@ def candidates(parts: list[EdgePart]) -> DataFrame:
     return pairs.filter(F.col("t").isNotNull())
 
 
+def located(rows: DataFrame, key: str, vertices: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """Rows with the number of the vertex whose subject is in column ``key``; it takes that column's place, as ``name``.
+
+    They meet by a digest, and then subjects are held against each other: a sort
+    by numbers is one by digits, where identities, which begin alike, are compared
+    whole. The two comparisons say what ``==`` says, but do not become a key of the join.
+    """
+    own = vertices.select(F.col("subject").alias("_wm_subject"), F.col("dense_id").alias("_wm_id"))
+    a, b = F.col(key), F.col("_wm_subject")
+    met = rows.join(own, (F.xxhash64(a) == F.xxhash64(b)) & (a <= b) & (a >= b), how)
+    return met.select(*[F.col(c) for c in rows.columns if c != key], F.col("_wm_id").alias(name))
+
+
 def resolve(parts: list[EdgePart], sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates, resolved): pairs of identities, and those of them that find both vertices, as (src, dst)."""
     pairs = candidates(parts)
-    a = sources.select(F.col("subject").alias("s"), F.col("dense_id").alias("src"))
-    b = targets.select(F.col("subject").alias("t"), F.col("dense_id").alias("dst"))
-    return pairs, pairs.join(a, "s").join(b, "t").select("src", "dst")
+    return pairs, located(located(pairs, "s", sources, "src"), "t", targets, "dst").select("src", "dst")
 
 
 def build_edges(label: str, predicate: str, single: bool, parts: list[EdgePart], source: VertexTable, target: VertexTable) -> EdgeTable:
     """Resolve, count what is dropped, make a set, and check that a single-valued edge has one target."""
     pairs = candidates(parts)
-    a = source.rows.select(F.col("subject").alias("s"), F.col("dense_id").alias("src"))
-    b = target.rows.select(F.col("subject").alias("t"), F.col("dense_id").alias("dst"))
-    met = pairs.join(a, "s", "left").join(b, "t", "left")
-    placed = cut(met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "edges")
+    # the end with fewer vertices first: where Spark broadcasts them, the other join deals numbers in place of those identities
+    ends = sorted([("s", source, "src"), ("t", target, "dst")], key=lambda end: end[1].count)
+    met = pairs
+    for key, table, name in ends:
+        met = located(met, key, table.rows, name, "left")
+    # both numbers are below MAX_VERTICES, so a pair is one number; null where an end finds no vertex
+    pair = F.shiftleft("src", 32).bitwiseOR(F.col("dst"))
+    distinct = met.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(distinct.select(F.shiftrightunsigned("pair", 32).alias("src"), F.col("pair").bitwiseAND(F.lit(MAX_VERTICES - 1)).alias("dst"), "n"), "edges")
     whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
     sums = [F.sum("n").alias("read"), F.sum(F.when(whole, F.col("n"))).alias("found"), F.count_if(whole).alias("edges")]
     if single:  # pairs are distinct: two of one source are two targets
